@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Tasks get this module's functions with the query, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -171,7 +173,7 @@ def score_anomalies(df: DataFrame, columns: list[str], trees: int = 100, sample_
     forest = collect_forest(nodes, legacy, df.count() if legacy else None)
     score = anomaly_score(forest, feature_columns(df, columns)).alias("anomaly_score")
     kept = [c for c in (keep or []) if c not in columns]
-    return df.select(score, *kept, *columns)
+    return spread(df.select(*kept, *columns)).select(score, *kept, *columns)
 
 
 def sorted_anomalies(scored: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -17,9 +17,26 @@ def _family(t: T.DataType) -> str:
     return "double" if isinstance(t, (T.FloatType, T.DoubleType)) else "string"
 
 
+LONG_TEXT = 64
+_DIGEST = "sha256:"
+
+
+def text_key(x: Column) -> Column:
+    """The text itself, or its SHA-256 when it is long, so that whole documents need not be shuffled.
+
+    A digest with its prefix is longer than any text kept as it is, so the two cannot be confused.
+    """
+    return F.when(F.length(x) > LONG_TEXT, F.concat(F.lit(_DIGEST), F.sha2(x, 256))).otherwise(x)
+
+
+def is_digest(key: Column) -> Column:
+    return (F.length(key) > LONG_TEXT) & F.startswith(key, F.lit(_DIGEST))
+
+
 def typed_value_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     """Physical family -> (column, value, n): how often each value of each column occurs, nulls included.
 
+    Long texts are represented by :func:`text_key`.
     Columns are counted per family so that numbers travel as 8 bytes rather than as text, and duplicates
     collapse before the shuffle.
     """
@@ -28,13 +45,16 @@ def typed_value_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame
         families.setdefault(_family(df.schema[name].dataType), []).append(name)
     counts = {}
     for family, names in families.items():
-        long = df.select(*[F.col(c).cast(family).alias(c) for c in names]).unpivot([], names, "column", "value")
+        values = {c: F.col(c).cast(family) for c in names}
+        if family == "string":
+            values = {c: text_key(x) for c, x in values.items()}
+        long = df.select(*[x.alias(c) for c, x in values.items()]).unpivot([], names, "column", "value")
         counts[family] = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return counts
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, number, n) with values as text, made once per distinct value."""
+    """(column, value, number, n) with values as text keys, made once per distinct value."""
     parts = []
     for family, counts in typed_value_counts(df, columns).items():
         number = F.lit(None).cast("double") if family == "string" else F.col("value").cast("double")

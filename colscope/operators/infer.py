@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import on_driver, spread
 from ..specs import AUTO_DETECT, CATEGORY, DATE, NUMBER, PERCENTAGE, TEXT, ColumnSpec
 from .distinct import small_distinct_counts
 
@@ -31,21 +32,35 @@ LEGACY_FORMATS = {"DD-MM-YYYY", "YYYY-MM-DD", "DD/MM/YY", "DD-MM-YYYY HH:MM:SS",
 _BLANKS = "".join(map(chr, range(1, 33)))
 
 
-def value_type(value: Column, legacy: bool = False) -> Column:
-    """Struct (datatype, format, decimal) of one text value."""
-    s = F.btrim(value, F.lit(_BLANKS))
-    number = F.when(s.rlike(f"^{NUMBER_PATTERN}$"), s.try_cast("double"))
+def _trimmed(value: Column) -> Column:
+    """Value without blanks and control characters at its ends; most values have none, so those are tested first."""
+    clean = (F.substring(value, 1, 1) > " ") & (F.substring(value, -1, 1) > " ")
+    return F.when(clean, value).otherwise(F.btrim(value, F.lit(_BLANKS)))
 
+
+def _with_types(df: DataFrame, value: str, legacy: bool) -> DataFrame:
+    """Add ``kind``, the struct (datatype, format, decimal) of each text value; each step is worked out once."""
+    steps = df.withColumn("_s", _trimmed(F.col(value)))
+    digits = F.substring("_s", 1, 1).between("0", "9") | F.startswith(F.col("_s"), F.lit("-"))
+    steps = steps.withColumn("_n", F.when(digits & F.col("_s").rlike(f"^{NUMBER_PATTERN}$"), F.col("_s").try_cast("double")))
+    return steps.withColumn("kind", _type_of(F.col("_s"), F.col("_n"), legacy)).drop("_s", "_n")
+
+
+def value_types(df: DataFrame, value: str, legacy: bool = False) -> DataFrame:
+    """``df`` with the datatype, format and decimal places of each value of a text column."""
+    return _with_types(df, value, legacy).select(*df.columns, "kind.datatype", "kind.format", "kind.decimal")
+
+
+def _type_of(s: Column, number: Column, legacy: bool) -> Column:
     def kind(datatype: str, fmt: str = "", decimal: Column | int = 0) -> Column:
         decimal = decimal if isinstance(decimal, Column) else F.lit(decimal)
         return F.struct(F.lit(datatype).alias("datatype"), F.lit(fmt).alias("format"), decimal.alias("decimal"))
 
     decimals = F.when(F.contains(s, F.lit(".")), 2).otherwise(0)
     first = F.substring(s, 1, 1)
-    # Dates and numbers start with a digit or a minus, and no number has a date's form: cheap tests go first.
-    result = (F.when(s == "", kind(NULL)).when(~(first.between("0", "9") | (first == "-")), kind(TEXT, TEXT))
-              .when(number.between(0, 1), kind(PERCENTAGE, "", decimals))
-              .when(number.isNotNull(), kind(NUMBER, "", decimals)))
+    # Dates start with a digit, and no number has a date's form: cheap tests go first.
+    result = (F.when(s == "", kind(NULL)).when(number.between(0, 1), kind(PERCENTAGE, "", decimals))
+              .when(number.isNotNull(), kind(NUMBER, "", decimals)).when(~first.between("0", "9"), kind(TEXT, TEXT)))
     for pattern, fmt in DATE_PATTERNS:
         if not legacy or fmt in LEGACY_FORMATS:
             result = result.when(s.rlike(f"^{pattern}$"), kind(DATE, fmt))
@@ -87,24 +102,20 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: in
     columns = columns or df.columns
     if sample_rows is not None:
         df = (df.orderBy(*order_by) if order_by else df).limit(sample_rows)
-    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    long = text.unpivot([], columns, "column", "value")
-    if sample_rows is not None:
-        counts = long.groupBy("column").agg(F.count_distinct("value").alias("values"))
-        few = counts.filter(F.col("values") < MIN_TEXT_VALUES).select("column", F.lit(True).alias("few"))
-    else:
-        settled = small_distinct_counts(text, columns, MIN_TEXT_VALUES)
-        few = None
-    # Grouping by the type first makes it a key, worked out once per value; few rows are left after that.
-    typed = long.groupBy("column", value_type(F.col("value"), legacy).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    kinds = typed.groupBy("column").agg(
-        F.sort_array(F.collect_set(F.when(F.col("kind.datatype") != NULL, F.col("kind")))).alias("kinds"))
-    if few is not None:
-        kinds = kinds.join(few, "column", "left").withColumn("few", F.coalesce("few", F.lit(False)))
-    else:
-        kinds = kinds.withColumn("few", F.col("column").isin(list(settled)))
-    resolved = kinds.select("column", _resolve(F.col("kinds"), F.col("few"), legacy).alias("r"))
-    return resolved.select("column", "r.datatype", "r.format", "r.decimal")
+    as_text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+    text = df.select(*as_text)
+    long = (text if sample_rows is not None else spread(df).select(*as_text)).unpivot([], columns, "column", "value")
+    # Grouping by the type leaves a handful of rows per column, which live on the driver from here on.
+    typed = _with_types(long, "value", legacy).groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = on_driver(typed.groupBy("column").agg(
+        F.sort_array(F.collect_set(F.when(F.col("kind.datatype") != NULL, F.col("kind")))).alias("kinds")))
+
+    def resolved(few: list[str]) -> DataFrame:
+        rule = _resolve(F.col("kinds"), F.col("column").isin(few), legacy)
+        return kinds.select("column", rule.alias("r")).select("column", "r.datatype", "r.format", "r.decimal")
+
+    words = [r["column"] for r in resolved([]).filter(F.col("datatype") == TEXT).collect()]
+    return resolved(list(small_distinct_counts(text, words, MIN_TEXT_VALUES)))
 
 
 def detect_new_types(df: DataFrame, specs: list[ColumnSpec], order_by: list[str] | None = None) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from ..session import spread
 from .clean import complete_rows
 from .distinct import small_distinct_counts
 from .split import random_split
@@ -83,16 +84,14 @@ def task_kind(df: DataFrame, label: str, algorithm: str = TREE) -> str:
     return REGRESSION if many else CLASSIFICATION
 
 
-def index_values(df: DataFrame, column: str) -> DataFrame:
-    """(value, index, n): category indexes by descending frequency, ties by value.
-
-    The index comes from a range-partitioned sort whose per-partition offsets are added up, so a column of
-    many values is not ordered in one task.
-    """
+def index_values(df: DataFrame, column: str, max_values: int = 1000) -> DataFrame:
+    """(value, index, n): category indexes by descending frequency, ties by value."""
+    if column not in small_distinct_counts(df, [column], max_values + 1):
+        raise ValueError(f"{column} has more than {max_values} values")
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    present = counts.filter(F.col("value").isNotNull())
-    ranked = present.orderBy(F.desc("n"), "value").rdd.zipWithIndex().map(lambda t: (t[0][0], t[1], t[0][1]))
-    return df.sparkSession.createDataFrame(ranked, "value string, index long, n long")
+    # At most max_values rows are ranked together.
+    ranked = F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1
+    return counts.filter(F.col("value").isNotNull()).select("value", ranked.cast("long").alias("index"), "n")
 
 
 def index_categories(df: DataFrame, columns: list[str], suffix: str = "__index") -> StringIndexerModel:
@@ -133,7 +132,7 @@ def _check_categories(data: DataFrame, categorical: list[str], kind: str, s: Tre
 
 def fit(df: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFrame]:
     """Train with k-fold cross-validation; returns the model and its training and test rows."""
-    data = complete_rows(df, [*s.features, s.label])
+    data = spread(complete_rows(df, [*s.features, s.label]))
     kind = task_kind(data, s.label, s.algorithm)
     categorical, continuous = split_features(data, s.features, CATEGORY_THRESHOLD[s.algorithm])
     _check_categories(data, categorical, kind, s)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import bucket
 from ..session import on_driver, small_table
 from ..specs import CATEGORY, OTHERS, TEXT, ColumnSpec
-from .distinct import small_distinct_counts, typed_value_counts, value_counts
+from .distinct import LONG_TEXT, is_digest, small_distinct_counts, text_key, typed_value_counts, value_counts
 from .quantiles import bracket_columns, pick_quantiles
 
 DEFAULT_BINS = 22
@@ -187,10 +187,23 @@ def category_histogram(df: DataFrame, columns: list[str], order: str = "desc", l
               .select("column", F.lit(OTHERS).alias("value"), (F.col("total") - F.col("kept")).alias("n"),
                       (F.col("bins") + 1).alias("bin")))
     none = F.lit(None).cast("double")
-    return top.unionByName(others).select("column", (F.col("bin") - 1).alias("bin"), F.col("value").alias("label"),
+    return _with_texts(df, columns, on_driver(top.unionByName(others))).select("column", (F.col("bin") - 1).alias("bin"), F.col("value").alias("label"),
                                           none.alias("lower"), none.alias("upper"), "n")
 
 
+def _with_texts(df: DataFrame, columns: list[str], top: DataFrame) -> DataFrame:
+    """Put the texts back where a ranked value is a digest; scans again only if there is one."""
+    wanted = top.filter(is_digest(F.col("value"))).select("column", "value")
+    found = sorted({r["column"] for r in wanted.collect()})
+    if not found:
+        return top
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in found]).unpivot([], found, "column", "text")
+    texts = (long.filter(F.length("text") > LONG_TEXT).withColumn("value", text_key(F.col("text")))
+             .join(F.broadcast(wanted), ["column", "value"])
+             .groupBy("column", "value").agg(F.min("text").alias("text")))
+    return top.join(texts, ["column", "value"], "left").withColumn("value", F.coalesce("text", "value"))
+
+
 def histograms(df: DataFrame, specs: list[ColumnSpec], bins: int = DEFAULT_BINS,
                ends: tuple[float, float] = DEFAULT_ENDS, edges: dict[str, list[float]] | None = None,
                order: str = "desc", exact: bool = False) -> DataFrame:

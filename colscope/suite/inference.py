@@ -78,8 +78,7 @@ def mixed_values(spark, folder):
 @query("infer_value_types", f"""
     SELECT o_orderkey, value, kind AS datatype, format, decimal FROM ({_type_sql(MIXED_SQL)})""")
 def infer_value_types(spark, folder):
-    df = mixed_values(spark, folder).select("*", inf.value_type(F.col("value")).alias("t"))
-    return df.select("o_orderkey", "value", "t.datatype", "t.format", "t.decimal")
+    return inf.value_types(mixed_values(spark, folder), "value")
 
 
 _LINEITEM = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]

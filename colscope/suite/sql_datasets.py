@@ -52,11 +52,14 @@ SHARED = {
         SELECT o_custkey, o_orderkey, place FROM (
             SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
             FROM orders) ranked WHERE place <= 3""",
+    # Frames run over daily totals, so no window holds more rows than there are days.
     "sql_window_frames": """
-        SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, count(*) OVER (PARTITION BY o_custkey) AS orders,
-               lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous
-        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-                                 ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+        SELECT o_orderpriority, cast(day AS string) AS day, round(sum(total) OVER w, 2) AS last_3_days, round(sum(total) OVER r, 2) AS so_far,
+               n - lag(n) OVER (PARTITION BY o_orderpriority ORDER BY day) AS change
+        FROM (SELECT o_orderpriority, cast(o_orderdate AS date) AS day, sum(o_totalprice) AS total, count(*) AS n
+              FROM orders GROUP BY o_orderpriority, cast(o_orderdate AS date)) daily
+        WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+               r AS (PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "sql_union": "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier",
     "sql_union_all": """
         SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer
