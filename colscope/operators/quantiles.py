@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import on_driver
 
-_ACCURACY = 10_000
+_ACCURACY = 2_000
 _MARGIN = 2.5 / _ACCURACY
 _SMALL = 100_000
 _SLICES = 1024
@@ -97,7 +97,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[fl
 def approximate_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Sketch quantiles per key in one scan (rank error 1/10,000); each is a value of the column."""
     sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, _ACCURACY).alias("q"))
+        F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("q"))
     pairs = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col("q")[i].alias("quantile"))
                       for i, p in enumerate(probs)])
     return sketch.select(*keys, F.inline(pairs)).filter(F.col("quantile").isNotNull())

@@ -69,19 +69,23 @@ def is_number(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def split_features(df: DataFrame, columns: list[str], threshold: int = 20) -> tuple[list[str], list[str]]:
-    """(categorical, continuous) inputs: non-numbers, and numbers with fewer than ``threshold`` values."""
+def split_features(df: DataFrame, columns: list[str], threshold: int = 20,
+                   distinct: dict[str, int] | None = None) -> tuple[list[str], list[str]]:
+    """(categorical, continuous) inputs: non-numbers, and numbers with fewer than ``threshold`` values.
+
+    ``distinct`` may hold small distinct counts that are already known, complete up to the threshold.
+    """
     numeric = [c for c in columns if is_number(df, c)]
-    few = small_distinct_counts(df, numeric, threshold)
-    categorical = [c for c in columns if c not in numeric or c in few]
+    counts = small_distinct_counts(df, numeric, threshold) if distinct is None else distinct
+    categorical = [c for c in columns if c not in numeric or counts.get(c, threshold) < threshold]
     return categorical, [c for c in columns if c not in categorical]
 
 
-def task_kind(df: DataFrame, label: str, algorithm: str = TREE) -> str:
+def task_kind(df: DataFrame, label: str, algorithm: str = TREE, distinct: dict[str, int] | None = None) -> str:
     """Regression for a numeric label with many values, classification otherwise."""
-    limit = MAX_LABEL_CLASSES[algorithm] + 1
-    many = is_number(df, label) and label not in small_distinct_counts(df, [label], limit)
-    return REGRESSION if many else CLASSIFICATION
+    most = MAX_LABEL_CLASSES[algorithm]
+    counts = small_distinct_counts(df, [label], most + 1) if distinct is None else distinct
+    return REGRESSION if is_number(df, label) and counts.get(label, most + 1) > most else CLASSIFICATION
 
 
 def index_values(df: DataFrame, column: str, max_values: int = 1000) -> DataFrame:
@@ -118,24 +122,31 @@ def _estimator(s: TreeSettings, kind: str):
     return (GBTClassifier if classify else GBTRegressor)(maxIter=s.iterations, **common)
 
 
-def _check_categories(data: DataFrame, categorical: list[str], kind: str, s: TreeSettings) -> None:
+def _check_categories(distinct: dict[str, int], categorical: list[str], kind: str, s: TreeSettings) -> None:
     """Refuse unbounded categories before any of their values are gathered for indexing."""
-    few = small_distinct_counts(data, categorical, s.max_bins)
-    wide = [c for c in categorical if c not in few]
+    wide = [c for c in categorical if distinct.get(c, s.max_bins) >= s.max_bins]
     if wide:
         raise ValueError(f"max_bins={s.max_bins} is too small for the categories of {wide}")
-    if kind == CLASSIFICATION:
-        most = 2 if s.algorithm == BOOSTED else s.max_classes
-        if s.label not in small_distinct_counts(data, [s.label], most + 1):
-            raise ValueError(f"label {s.label} has more than {most} classes")
+    most = 2 if s.algorithm == BOOSTED else s.max_classes
+    if kind == CLASSIFICATION and distinct.get(s.label, most + 1) > most:
+        raise ValueError(f"label {s.label} has more than {most} classes")
 
 
 def fit(df: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFrame]:
     """Train with k-fold cross-validation; returns the model and its training and test rows."""
-    data = spread(complete_rows(df, [*s.features, s.label]))
-    kind = task_kind(data, s.label, s.algorithm)
-    categorical, continuous = split_features(data, s.features, CATEGORY_THRESHOLD[s.algorithm])
-    _check_categories(data, categorical, kind, s)
+    data = spread(complete_rows(df, [*s.features, s.label])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(data, s)
+    finally:
+        data.unpersist()
+
+
+def _fit(data: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFrame]:
+    enough = max(s.max_bins, s.max_classes + 1, CATEGORY_THRESHOLD[s.algorithm], MAX_LABEL_CLASSES[s.algorithm] + 1)
+    distinct = small_distinct_counts(data, [*s.features, s.label], enough)
+    kind = task_kind(data, s.label, s.algorithm, distinct)
+    categorical, continuous = split_features(data, s.features, CATEGORY_THRESHOLD[s.algorithm], distinct)
+    _check_categories(distinct, categorical, kind, s)
     stages, feature_labels, class_labels = [], {}, []
     if categorical:
         indexer = index_categories(data, categorical)
@@ -146,10 +157,10 @@ def fit(df: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFrame
         # Fitted on all rows, so that no fold meets a class it has not seen.
         label_indexer = StringIndexer(inputCol=s.label, outputCol="__label").fit(data)
         class_labels = list(label_indexer.labels)
-        train_source = label_indexer.transform(data)
+        labelled = label_indexer.transform(data)
     else:
-        train_source = data.withColumn("__label", F.col(s.label).cast("double"))
-    train, test = random_split(train_source, s.train, s.test, s.seed)
+        labelled = data.withColumn("__label", F.col(s.label).cast("double"))
+    train, test = random_split(labelled, s.train, s.test, s.seed)
     estimator = _estimator(s, kind)
     stages.append(estimator)
     if kind == CLASSIFICATION:
@@ -162,11 +173,7 @@ def fit(df: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFrame
         grid = grid.addGrid(estimator.getParam(name), values)
     validator = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid.build(), evaluator=evaluator,
                                numFolds=max(2, s.folds), seed=s.seed, parallelism=s.parallelism)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = validator.fit(train)
-    finally:
-        train.unpersist()
+    model = validator.fit(train)
     return TreeModel(model, kind, s.label, categorical + continuous, feature_labels, class_labels), train, test
 
 

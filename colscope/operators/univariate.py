@@ -61,7 +61,8 @@ def summarize(df: DataFrame, specs: list[ColumnSpec], exact: bool = True) -> Dat
         rows = _stats_rows(df, [_moments(s, sketches(s)) for s in specs])
         return rows.withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
-    # One row per column, so the first scan's result can live on the driver and serve the second one.
+    # One row per column, so these two results can live on the driver.  They are separate aggregations
+    # because a sketch would take the moments out of generated code.
     moments = on_driver(_stats_rows(df, [_moments(s, []) for s in specs]))
     names = [s.name for s in specs]
     numeric = [s.name for s in specs if s.numeric]
