@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import on_driver, spread
 from ..specs import AUTO_DETECT, CATEGORY, DATE, NUMBER, PERCENTAGE, TEXT, ColumnSpec
@@ -32,39 +35,87 @@ LEGACY_FORMATS = {"DD-MM-YYYY", "YYYY-MM-DD", "DD/MM/YY", "DD-MM-YYYY HH:MM:SS",
 _BLANKS = "".join(map(chr, range(1, 33)))
 
 
+# Every type a value can have: (datatype, format, decimal).  Rows carry the index only.
+_KINDS = [(NULL, "", 0), (TEXT, TEXT, 0), (PERCENTAGE, "", 0), (PERCENTAGE, "", 2), (NUMBER, "", 0), (NUMBER, "", 2),
+          *[(DATE, fmt, 0) for _, fmt in DATE_PATTERNS]]
+_NULL, _TEXT, _PERCENTAGE, _NUMBER, _DATE = 0, 1, 2, 4, 6
+
+
+def _kind(code: Column) -> Column:
+    """Struct (datatype, format, decimal) of a code."""
+    return F.element_at(F.array(*[
+        F.struct(F.lit(d).alias("datatype"), F.lit(f).alias("format"), F.lit(n).alias("decimal")) for d, f, n in _KINDS
+    ]), code + 1)
+
+
 def _trimmed(value: Column) -> Column:
     """Value without blanks and control characters at its ends; most values have none, so those are tested first."""
     clean = (F.substring(value, 1, 1) > " ") & (F.substring(value, -1, 1) > " ")
     return F.when(clean, value).otherwise(F.btrim(value, F.lit(_BLANKS)))
 
 
-def _with_types(df: DataFrame, value: str, legacy: bool) -> DataFrame:
-    """Add ``kind``, the struct (datatype, format, decimal) of each text value; each step is worked out once."""
-    steps = df.withColumn("_s", _trimmed(F.col(value)))
-    digits = F.substring("_s", 1, 1).between("0", "9") | F.startswith(F.col("_s"), F.lit("-"))
-    steps = steps.withColumn("_n", F.when(digits & F.col("_s").rlike(f"^{NUMBER_PATTERN}$"), F.col("_s").try_cast("double")))
-    return steps.withColumn("kind", _type_of(F.col("_s"), F.col("_n"), legacy)).drop("_s", "_n")
+def _parsed(s: Column) -> Column:
+    """The number a trimmed value stands for, null if it is none."""
+    starts = F.substring(s, 1, 1).between("0", "9") | F.startswith(s, F.lit("-"))
+    return F.when(starts & s.rlike(f"^{NUMBER_PATTERN}$"), s.try_cast("double"))
 
 
-def value_types(df: DataFrame, value: str, legacy: bool = False) -> DataFrame:
-    """``df`` with the datatype, format and decimal places of each value of a text column."""
-    return _with_types(df, value, legacy).select(*df.columns, "kind.datatype", "kind.format", "kind.decimal")
+def _text_code(s: Column, number: Column, legacy: bool) -> Column:
+    places = F.when(F.contains(s, F.lit(".")), 1).otherwise(0)
+    # Dates start with a digit, and no number has a date's form: cheap tests go first.
+    code = (F.when(s == "", _NULL).when(number.between(0, 1), F.lit(_PERCENTAGE) + places)
+            .when(number.isNotNull(), F.lit(_NUMBER) + places).when(~F.substring(s, 1, 1).between("0", "9"), _TEXT))
+    for i, (pattern, fmt) in enumerate(DATE_PATTERNS):
+        if not legacy or fmt in LEGACY_FORMATS:
+            # A value has the length of its format, which rules out most patterns without matching them.
+            code = code.when((F.length(s) == len(fmt)) & s.rlike(f"^{pattern}$"), _DATE + i)
+    return code.otherwise(_TEXT)
 
 
-def _type_of(s: Column, number: Column, legacy: bool) -> Column:
-    def kind(datatype: str, fmt: str = "", decimal: Column | int = 0) -> Column:
-        decimal = decimal if isinstance(decimal, Column) else F.lit(decimal)
-        return F.struct(F.lit(datatype).alias("datatype"), F.lit(fmt).alias("format"), decimal.alias("decimal"))
+def _number_code(x: Column, fractional: bool) -> Column:
+    """Code of a numeric column's value, the same its text form would get.
 
-    decimals = F.when(F.contains(s, F.lit(".")), 2).otherwise(0)
-    first = F.substring(s, 1, 1)
-    # Dates start with a digit, and no number has a date's form: cheap tests go first.
-    result = (F.when(s == "", kind(NULL)).when(number.between(0, 1), kind(PERCENTAGE, "", decimals))
-              .when(number.isNotNull(), kind(NUMBER, "", decimals)).when(~first.between("0", "9"), kind(TEXT, TEXT)))
-    for pattern, fmt in DATE_PATTERNS:
-        if not legacy or fmt in LEGACY_FORMATS:
-            result = result.when(s.rlike(f"^{pattern}$"), kind(DATE, fmt))
-    return result.otherwise(kind(TEXT, TEXT))
+    Fractional numbers print with a point, and with an exponent (which makes them text) outside 0.001 to 10
+    million.
+    """
+    code = F.when(x.isNull(), _NULL)
+    if fractional:
+        plain = (x == 0) | ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7))
+        code = code.when(~plain, _TEXT)
+    places = int(fractional)
+    return code.when(x.between(0, 1), _PERCENTAGE + places).otherwise(_NUMBER + places)
+
+
+def _value_codes(df: DataFrame, columns: list[str], legacy: bool) -> DataFrame:
+    """(column, code) of every value.
+
+    Columns are made long per family, so the generated code does not grow with their number, and only those
+    that are no numbers already are turned into text.
+    """
+    whole, fractional = (T.ByteType, T.ShortType, T.IntegerType, T.LongType), (T.FloatType, T.DoubleType)
+    kinds = {c: df.schema[c].dataType for c in columns}
+    wholes = [c for c in columns if isinstance(kinds[c], whole)]
+    fractions = [c for c in columns if isinstance(kinds[c], fractional)]
+    texts = [c for c in columns if c not in wholes and c not in fractions]
+
+    def long(names: list[str], kind: str) -> DataFrame:
+        return df.select(*[F.col(c).cast(kind).alias(c) for c in names]).unpivot([], names, "column", "value")
+
+    parts = [long(names, kind).select("column", _number_code(F.col("value"), names is fractions).alias("code"))
+             for names, kind in ((wholes, "bigint"), (fractions, "double")) if names]
+    if texts:
+        steps = long(texts, "string").select("column", _trimmed(F.coalesce("value", F.lit(""))).alias("s"))
+        steps = steps.select("column", "s", _parsed(F.col("s")).alias("n"))
+        parts.append(steps.select("column", _text_code(F.col("s"), F.col("n"), legacy).alias("code")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def value_types(df: DataFrame, value: str, legacy: bool = False) -> DataFrame:
+    """``df`` with the datatype, format and decimal places of each value of a text column."""
+    steps = df.withColumn("_s", _trimmed(F.coalesce(F.col(value), F.lit(""))))
+    steps = steps.withColumn("_n", _parsed(F.col("_s")))
+    typed = steps.withColumn("_kind", _kind(_text_code(F.col("_s"), F.col("_n"), legacy)))
+    return typed.select(*df.columns, "_kind.datatype", "_kind.format", "_kind.decimal")
 
 
 def _resolve(kinds: Column, few_values: Column, legacy: bool) -> Column:
@@ -102,19 +153,18 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: in
     columns = columns or df.columns
     if sample_rows is not None:
         df = (df.orderBy(*order_by) if order_by else df).limit(sample_rows)
-    as_text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
-    text = df.select(*as_text)
-    long = (text if sample_rows is not None else spread(df).select(*as_text)).unpivot([], columns, "column", "value")
-    # Grouping by the type leaves a handful of rows per column, which live on the driver from here on.
-    typed = _with_types(long, "value", legacy).groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n"))
-    kinds = on_driver(typed.groupBy("column").agg(
-        F.sort_array(F.collect_set(F.when(F.col("kind.datatype") != NULL, F.col("kind")))).alias("kinds")))
+    # A handful of (column, type) rows per task reach the shuffle, and the result lives on the driver from here on.
+    codes = _value_codes(df if sample_rows is not None else spread(df), columns, legacy)
+    counts = codes.groupBy("column", "code").agg(F.count(F.lit(1)).alias("n"))
+    kinds = on_driver(counts.groupBy("column").agg(
+        F.sort_array(F.collect_set(F.when(F.col("code") != _NULL, _kind(F.col("code"))))).alias("kinds")))
 
     def resolved(few: list[str]) -> DataFrame:
         rule = _resolve(F.col("kinds"), F.col("column").isin(few), legacy)
         return kinds.select("column", rule.alias("r")).select("column", "r.datatype", "r.format", "r.decimal")
 
     words = [r["column"] for r in resolved([]).filter(F.col("datatype") == TEXT).collect()]
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in words])
     return resolved(list(small_distinct_counts(text, words, MIN_TEXT_VALUES)))
 
 

@@ -59,15 +59,15 @@ _SPREAD_BYTES = 2 * 1024**3
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input that sits in few file splits; bigger inputs are left as they are.
+    """Use all cores on a small input of few files for CPU-heavy work; other inputs are left as they are.
 
-    The plan's size estimate decides, so nothing is run.  At most 2 GB are ever moved.
+    The plan's file list and size estimate decide, so nothing is run.  At most 2 GB are ever moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    return df.repartition(cores) if cores > 1 and size < min(_SPREAD_BYTES, split * cores) else df
+    return df.repartition(cores) if size < _SPREAD_BYTES else df
 
 
 def on_driver(df: DataFrame) -> DataFrame:

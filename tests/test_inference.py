@@ -58,3 +58,13 @@ def test_twenty_values_make_text(spark):
 def test_ragged_lines(spark):
     lines = spark.createDataFrame([("a,b,c",), ("",), ("a,b",), ("a,b,c,d",), (",,",)], "line string")
     assert [r.line for r in drop_ragged(lines, "line", 3).collect()] == ["a,b,c", ",,"]
+
+
+def test_numbers_and_their_text_agree(spark):
+    fractions = [0.0, -0.0, 1.0, 0.5, 1e-3, 9.99e-4, -5.0, 9999999.0, 1e7, 1e300, float("nan"), float("inf"), None]
+    wholes = [0, 1, 2, -1, 10**12, None]
+    row = spark.createDataFrame([(*fractions, *wholes)], ", ".join(
+        [f"d{i} double" for i in range(len(fractions))] + [f"l{i} long" for i in range(len(wholes))]))
+    floats = row.select("*", *[F.col(f"d{i}").cast("float").alias(f"f{i}") for i in range(len(fractions))])
+    as_text = floats.select(*[F.col(c).cast("string") for c in floats.columns])
+    assert sorted(infer_types(floats).collect()) == sorted(infer_types(as_text).collect())
