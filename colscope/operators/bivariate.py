@@ -47,9 +47,10 @@ def column_pairs(columns: DataFrame, changed: list[str] | None = None) -> DataFr
 
     With ``changed``, only pairs that touch one of those columns.
     """
-    a = columns.select(F.col("position").alias("p1"), F.col("column").alias("c1"))
-    b = columns.select(F.col("position").alias("p2"), F.col("column").alias("c2"))
-    pairs = a.join(F.broadcast(b), F.col("p1") <= F.col("p2")).select("c1", "c2")
+    # The list of columns is schema-sized; a scalar subquery hands it to every row.
+    listed = columns.agg(F.sort_array(F.collect_list(F.struct("position", "column")))).scalar()
+    others = columns.select("position", F.col("column").alias("c1"), F.explode(listed).alias("o"))
+    pairs = others.filter(F.col("position") <= F.col("o.position")).select("c1", F.col("o.column").alias("c2"))
     if changed is not None:
         pairs = pairs.filter(F.col("c1").isin(changed) | F.col("c2").isin(changed))
     return pairs

@@ -22,7 +22,7 @@ def _category_bars(c: str, source: str) -> str:
 
 
 @query("profile_summary", " UNION ALL ".join([
-    f"""SELECT 0 AS position, 'status' AS "column", count(DISTINCT o_orderstatus) AS distinct, 0 AS missing, NULL::double AS mean, NULL::double AS median FROM orders""",
+    f"""SELECT 0 AS position, 'status' AS "column", count(DISTINCT o_orderstatus) AS distinct, 0::bigint AS missing, NULL::double AS mean, NULL::double AS median FROM orders""",
     f"""SELECT 1, 'price', count(DISTINCT o_totalprice), 0, round(avg(o_totalprice), 4), round(quantile_cont(o_totalprice, 0.5), 4) FROM orders""",
     f"""SELECT 2, 'priority', count(DISTINCT o_orderpriority), 0, NULL, NULL FROM orders"""]))
 def profile_summary(spark, folder):

@@ -134,7 +134,7 @@ def formula_outliers(spark, folder):
 
 @query("formula_text", """
     SELECT p_partkey, trim('  ' || p_name || ' ') AS trimmed, p_name || '-' || cast(p_size AS varchar) AS joined,
-           nullif(p_brand, 'Brand#2') || p_type AS joined_null, length('  ' || p_name) AS size,
+           nullif(p_brand, 'Brand#2') || p_type AS joined_null, cast(length('  ' || p_name) AS int) AS size,
            lower(p_brand) AS lowered, upper(p_name) AS raised
     FROM part""")
 def formula_text(spark, folder):
@@ -148,7 +148,7 @@ def formula_text(spark, folder):
 
 @query("formula_text_parts", """
     SELECT p_partkey, left(p_name, 3) AS first_3, right(p_name, 4) AS last_4, right(p_name, 100) AS whole,
-           substring(p_name, 2, 5) AS middle, instr(p_name, 'ring') AS ring_at, instr(p_name, 'zzz') AS absent
+           substring(p_name, 2, 5) AS middle, cast(instr(p_name, 'ring') AS int) AS ring_at, cast(instr(p_name, 'zzz') AS int) AS absent
     FROM part""")
 def formula_text_parts(spark, folder):
     return table(spark, folder, "part").select(
@@ -168,8 +168,8 @@ def formula_text_replace(spark, folder):
 
 
 @query("formula_document_text", """
-    SELECT doc_id, length(text) AS size, instr(text, 'the') AS first_the, contains(text, 'onen') AS has_onen,
-           length(regexp_replace(text, '[0-9]+', '', 'g')) AS size_without_digits
+    SELECT doc_id, cast(length(text) AS int) AS size, cast(instr(text, 'the') AS int) AS first_the, contains(text, 'onen') AS has_onen,
+           cast(length(regexp_replace(text, '[0-9]+', '', 'g')) AS int) AS size_without_digits
     FROM documents""")
 def formula_document_text(spark, folder):
     return table(spark, folder, "documents").select(

@@ -109,7 +109,7 @@ def suggested_max_bins(spark, folder):
 
 
 @query("histogram_of_values", " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", row_number() OVER (ORDER BY {c}) - 1 AS bin, cast({c} AS varchar) AS label,
+    f"""SELECT '{c}' AS "column", cast(row_number() OVER (ORDER BY {c}) - 1 AS int) AS bin, cast({c} AS varchar) AS label,
         cast({c} AS double) AS lower, cast({c} AS double) AS upper, count(*) AS n
         FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("l_discount", "l_tax", "l_linenumber")))
 def histogram_of_values(spark, folder):

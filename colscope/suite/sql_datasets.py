@@ -46,11 +46,11 @@ SHARED = {
     "sql_cube": """
         SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
     "sql_grouping_sets": """
-        SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS all_status, count(*) AS n
+        SELECT o_orderstatus, o_orderpriority, cast(grouping(o_orderstatus) AS int) AS all_status, count(*) AS n
         FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""",
     "sql_window_ranking": """
         SELECT o_custkey, o_orderkey, place FROM (
-            SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+            SELECT o_custkey, o_orderkey, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS int) AS place
             FROM orders) ranked WHERE place <= 3""",
     # Frames run over daily totals, so no window holds more rows than there are days.
     "sql_window_frames": """
