@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,15 @@ def byte_words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def on_workers(df: DataFrame) -> DataFrame:
+    """``df``, after making this package importable for Python workers that find the same folders."""
+    environment = df.sparkSession.sparkContext.environment
+    root, paths = str(Path(__file__).resolve().parents[2]), environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, keeps column pruning."""
     path = shared_folder(df.sparkSession, name)
@@ -74,7 +85,7 @@ def annotate(df: DataFrame, text: str, make: Callable[[list], list], fields: lis
                 made = [pa.array(v, t) for v, t in zip(make(part.column(0).to_pylist()), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], schema.names)
 
-    return inner.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
+    return on_workers(inner).mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
 
 
 _ARROW = {"long": pa.int64(), "integer": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,15 @@ FROM m""")
 def op1_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     return rep.repetition(_table(spark, folder, "documents"), keep=["doc_id"])
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(packing.token_pieces(_table(spark, folder, "documents"), tokenizer_path(), with_ids=False))
