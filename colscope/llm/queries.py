@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from ..session import shared_folder
+from . import packing, secrets, urls
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,72 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack(packing.token_pieces(_table(spark, folder, "documents"), tokenizer_path(), with_ids=False))
+
+
+_SECRET_PATTERNS = {
+    "assign": r'([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]'
+              r'|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)',
+    **{r.kind: r.pattern for r in [*secrets.BASE_RULES, *secrets.MORE_RULES] if r.kind != "assign"},
+}
+_SECRET_SPANS = " UNION ALL ".join(f"""
+  SELECT r, '{rule.kind}' AS kind, {rank} AS rank, start, start + size AS stop FROM (
+    SELECT r, list_sum(list_transform(gaps[:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS start, length(found[i]) AS size,
+      length(secret[i]) AS least
+    FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+      SELECT r, string_split_regex(t, '{_SECRET_PATTERNS[rule.kind]}') AS gaps,
+        regexp_extract_all(t, '{_SECRET_PATTERNS[rule.kind]}') AS found,
+        regexp_extract_all(t, '{_SECRET_PATTERNS[rule.kind]}', {rule.group}) AS secret FROM d)))
+  WHERE least >= {rule.least}""" for rank, rule in enumerate(secrets.RULES))
+
+
+@_query("op6_secrets", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_SECRET_SPANS}),
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY start, rank) AS spans
+  FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)""")
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, by a new ledger."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    ledger = shared_folder(spark, "ledger")
+    secrets.scan(docs, ledger)
+    return secrets.summary(secrets.spans_by_path(docs, ledger))
+
+
+_URL_PATTERNS = {  # the pattern rules as regular expressions, written out
+    "||cheap-pills.": r"^[^/]*://([^/?#]*[.])?cheap-pills[.]", "||casino.": r"^[^/]*://([^/?#]*[.])?casino[.]",
+    "||poker-online.": r"^[^/]*://([^/?#]*[.])?poker-online[.]", "||free-money.": r"^[^/]*://([^/?#]*[.])?free-money[.]",
+    "||click-bait.": r"^[^/]*://([^/?#]*[.])?click-bait[.]", "||spam.": r"^[^/]*://([^/?#]*[.])?spam[.]",
+    "||malware.": r"^[^/]*://([^/?#]*[.])?malware[.]", "/adserver/": "/adserver/", "/banner-ads/": "/banner-ads/",
+    "/affiliate-id=": "/affiliate-id=", "/wp-login.php|": "/wp-login[.]php$", "/.git/config|": "/[.]git/config$",
+    "/phpmyadmin^": "/phpmyadmin([^a-z0-9._%-]|$)", "?sessionid=": "[?]sessionid=", "&sid=*&tracking=": "&sid=.*&tracking=",
+    "/xxx^": "/xxx([^a-z0-9._%-]|$)", ".exe|": "[.]exe$", ".apk|": "[.]apk$",
+    "/torrent^*magnet": "/torrent([^a-z0-9._%-]|$).*magnet",
+}
+
+
+@_query("op10_urls", r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(verdict, rule) AS (VALUES """ + ", ".join(f"('{a}', '{r}')" for a, r in urls.HOST_RULES) + r"""),
+fit AS (
+  SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p, (SELECT *, split_part(rule, '/', 1) AS h, rule[length(split_part(rule, '/', 1)) + 1:] AS s FROM rules)
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY r),
+patterns(pattern, regex) AS (VALUES """ + ", ".join(f"('{p}', '{x}')" for p, x in _URL_PATTERNS.items()) + r"""),
+hit AS (SELECT r, min(pattern) AS pattern FROM p, patterns WHERE regexp_matches(lower(url), regex) GROUP BY r)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern
+FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)""")
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(_table(spark, folder, "pages"), urls.pattern_table(spark, urls.PATTERNS))
