@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import packing, secrets, urls
+from . import packing, secrets, urls, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +147,20 @@ FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)""")
 def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urls.judge(_table(spark, folder, "pages"), urls.pattern_table(spark, urls.PATTERNS))
+
+
+@_query("op5_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(html) AS size, max(page_id) OVER (PARTITION BY html) AS response,
+  list_transform(range(8), lambda i: ('0x' || h[5 * i + 1:5 * i + 5])::BIGINT) AS parts FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]), 'string_agg', '')), '') AS payload_digest,
+  CASE WHEN response IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
+FROM d""")
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, read back from the archives in order of the capture histories."""
+    found = warc.archived_pages(_table(spark, folder, "pages"))
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
