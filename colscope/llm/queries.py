@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import packing, secrets, urls, warc
+from . import chat, packing, secrets, urls, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,34 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.archived_pages(_table(spark, folder, "pages"))
     return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
                         F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+_CONTROL = r"([\\]|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[/ROLE\])"
+
+
+@_query("op2_chat", rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, role || chr(10) || text || chr(10) AS line, coalesce(lag(role) OVER w, 'start') AS before,
+    lead(role) OVER w IS NULL AS final,
+    length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) AS escaped,
+    CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+      ELSE 16 + length(regexp_replace(role, '{_CONTROL}', '\\\1', 'g')) END AS marks
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(escaped + marks)::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'system') AS n_system,
+  bool_and(CASE before WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+    WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END
+    AND (NOT final OR role = 'assistant')) AS well_formed
+FROM t GROUP BY conv_id""")
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one that quotes control strings, formatted and read back."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_chat(rows.unionAll(more)))
