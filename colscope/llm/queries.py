@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, packing, secrets, urls, warc
+from . import chat, jaccard, packing, secrets, urls, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,26 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     return chat.read_back(chat.format_chat(rows.unionAll(more)))
+
+
+@_query("op8_jaccard", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 90 * (a.n + b.n - c)),
+both_ways AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach AS (
+  WITH RECURSIVE walk(node, root) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT b.v, w.root FROM walk w JOIN both_ways b ON b.u = w.node)
+  SELECT node, min(root) AS component_id FROM walk GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = d.doc_id""")
+def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents by 3-word shingles."""
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
