@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, jaccard, packing, secrets, urls, warc
+from . import chat, jaccard, packing, secrets, tiling, urls, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = d.doc_id""")
 def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents by 3-word shingles."""
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op3_tiling")
+def op3_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents cover by half or more."""
+    return tiling.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
