@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, jaccard, packing, secrets, tiling, urls, warc
+from . import chat, jaccard, packing, recurrent, secrets, tiling, urls, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,9 @@ def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op3_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that documents cover by half or more."""
     return tiling.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op9_recurrent")
+def op9_recurrent(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under the recurrent model and under word frequencies."""
+    return recurrent.log_likelihood(_table(spark, folder, "documents"))
