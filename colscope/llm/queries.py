@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, jaccard, packing, recurrent, secrets, tiling, urls, warc
+from . import chat, jaccard, packing, recurrent, secrets, tiling, toxicity, urls, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,9 @@ def op3_tiling(spark: SparkSession, folder: str) -> DataFrame:
 def op9_recurrent(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document under the recurrent model and under word frequencies."""
     return recurrent.log_likelihood(_table(spark, folder, "documents"))
+
+
+@_query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
