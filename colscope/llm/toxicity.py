@@ -72,7 +72,11 @@ def features(word: str, bits: int) -> tuple[list[int], int, int]:
 
 
 def toxic_stems(texts: list[list[str]], toxic: list[bool], rule: Field) -> set[str]:
-    """Stems that next to no clean document has, chosen until they cover the toxic documents that can be covered."""
+    """Stems that next to no clean document has, chosen until they cover the toxic documents that can be covered.
+
+    Stems that no clean document has are chosen as well if it is unlikely that chance kept any stem so often to toxic
+    documents.
+    """
     clean, where, times = Counter(), defaultdict(set), Counter()
     for i, (words, bad) in enumerate(zip(texts, toxic)):
         own = Counter(s for w in {w.strip(EDGES) for w in words} if len(w) > 2 for s in stems(w))
@@ -86,7 +90,9 @@ def toxic_stems(texts: list[list[str]], toxic: list[bool], rule: Field) -> set[s
     share = max(1, len(toxic) - sum(toxic)) / max(1, sum(toxic))
     where = {s: d for s, d in where.items()
              if len(d) >= least and times[s] >= 4 and clean[s] <= 0.01 * len(d) * share}
-    chosen = set()
+    toxic_share = sum(toxic) / max(1, len(toxic))
+    chance = math.log(0.01 / max(1, len(times))) / math.log(min(max(toxic_share, 1e-9), 0.99))
+    chosen = {s for s in where if not clean[s] and times[s] > chance}
     while where:
         best = max(where, key=lambda s: (len(where[s]), times[s], -len(s), s))
         chosen.add(best)
