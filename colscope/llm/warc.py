@@ -44,7 +44,7 @@ def _date(id: Column) -> Column:
 
 
 def deduplicated(pages: DataFrame, id: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
-    """(id, sha, refers_to) of the distinct pairs of id and payload; refers_to is null for a response.
+    """(name, sha, refers_to) of the distinct pairs of id, as text, and payload; refers_to is null for a response.
 
     Copies find their response by digest with rows of a few bytes, so a payload that a third of all pages share is no
     large group of texts.
@@ -53,27 +53,33 @@ def deduplicated(pages: DataFrame, id: str = "page_id", payload: str = "html", l
     heads = pages.select(named(id).alias("id"), F.sha1(text).alias("sha"), F.octet_length(text).alias("bytes")).distinct()
     refs = heads.filter(F.col("bytes") >= least).groupBy("sha").agg(F.max("id").alias("ref"))
     own = heads.join(refs.hint("merge"), "sha", "left")
-    return own.select("id", "sha", F.when(F.col("ref") != F.col("id"), F.col("ref"))
+    return own.select(_name("id"), "sha", F.when(F.col("ref") != F.col("id"), F.col("ref"))
                       .when(F.col("id").isNull(), F.col("ref")).alias("refers_to"))
 
 
-def records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """(record) of every row, without the blank lines that end it; a revisit has the head of its response only."""
+def _name(id: str) -> Column:
+    return F.coalesce(named(id).cast("string"), F.lit("")).alias("name")
+
+
+def records(pages: DataFrame, parts: int, id: str = "page_id", url: str = "url", payload: str = "html",
+            least: int = 0) -> DataFrame:
+    """(record) of every row, without the blank lines that end it; a revisit has the head of its response only.
+
+    Payloads are shuffled once, into ``parts`` partitions by id and digest, which is where they meet their response.
+    """
     text = F.coalesce(named(payload).cast("string"), F.lit(""))
     address = F.translate(named(url).cast("string"), "\r\n", "")
-    full = pages.select(named(id).alias("id"), address.alias("url"), text.alias("body"), F.sha1(text).alias("sha"))
+    full = pages.select(_name(id), named(id).alias("id"), address.alias("url"), text.alias("body"), F.sha1(text).alias("sha"))
     refs = deduplicated(pages, id, payload, least)
-    same = full["id"].eqNullSafe(refs["id"]) & (full["sha"] == refs["sha"])
-    joined = full.join(refs.hint("merge"), same).select(full["*"], refs["refers_to"])
+    joined = full.repartition(parts, "name", "sha").join(refs.hint("merge"), ["name", "sha"])
     size = F.octet_length("body").cast("string")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), size,
                     F.lit("\r\n\r\n"))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, head).otherwise(F.concat(head, "body"))
-    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     lines = [
         F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("name"), F.lit(">")),
         F.concat(F.lit("WARC-Date: "), _date(F.col("id"))),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha"))),
@@ -94,9 +100,9 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     the smallest rank.  Rows repeated as a whole are alike, and an empty table gives an archive without records.
     """
     total = pages.agg(F.sum(F.octet_length(named(payload).cast("string")) + F.lit(600))).first()[0] or 0
-    made = records(pages, id, url, payload, least)
-    made = made.repartition(max(1, math.ceil(total / archive_bytes)), F.xxhash64(F.substring("record", 1, 200)))
-    made.write.option("lineSep", RECORD_END).option("compression", "gzip").text(folder)
+    # No fewer than the session's shuffles have, or the join would deal the payloads out again.
+    parts = max(math.ceil(total / archive_bytes), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    records(pages, parts, id, url, payload, least).write.option("lineSep", RECORD_END).option("compression", "gzip").text(folder)
 
 
 def url_key(url: str) -> str:
