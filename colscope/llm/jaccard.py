@@ -46,15 +46,19 @@ class Jaccard:
         """Largest symmetric difference of linked sets whose sizes sum to ``total``."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def files(self, n: int) -> list[tuple[int, int]]:
-        """(class of sizes, fragments) that a set of ``n`` is filed in; linked sets always meet in one of them."""
+    def files(self, n: int) -> list[tuple[int, int, int]]:
+        """(class of sizes, fragments, spare ones) that a set of ``n`` is filed in; linked sets always meet in one.
+
+        With D differences and D + 1 + m fragments, m + 1 agree; so a set with m empty ones or fewer need not be filed
+        under those, which sets agree in that have nothing in common.
+        """
         out, low, k = [], 1, 0
         while low * self.num <= n * self.den:
             high = max(low, low * 3 // 2)
             if n <= high:
-                parts = self.most_different(2 * high) + 1
-                if parts > 1:  # else only equal sets are linked
-                    out.append((k, parts))
+                most = self.most_different(2 * high)
+                if most:  # else only equal sets are linked
+                    out.append((k, most + 1 + most // 20, most // 20))
             low, k = high + 1, k + 1
         return out
 
@@ -106,11 +110,12 @@ def fragment_marks(grams: np.ndarray, rule: Jaccard) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(grams ^ _ODD[5]))])
-        for k, parts in rule.files(len(grams)):
+        for k, parts, spare in rule.files(len(grams)):
             at = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
             place = np.arange(parts, dtype=np.uint64) * _ODD[6] + np.uint64(k) * _ODD[7]
-            out.append(_mixed(sums[cuts[1:]] - sums[cuts[:-1]] + place))
+            marks, full = _mixed(sums[cuts[1:]] - sums[cuts[:-1]] + place), cuts[1:] > cuts[:-1]
+            out.append(marks[full] if parts - full.sum() <= spare else marks)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
