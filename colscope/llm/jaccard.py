@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, named, on_workers, slices, written
+from .common import LOWER, annotate, named, on_workers, slices, written
 
 FRAGMENTS = 8
 MAX_BROADCAST_ROWS = 1_000_000
@@ -302,3 +302,38 @@ def near_duplicates(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc
     empty = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = full.unionAll(empty)
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that of its smallest id, with its own columns; rows without n-grams all stay.
+
+    Rows find out whether they stay by id and digest.  Those that go, or are repeated, are listed; the list is broadcast
+    if it is counted to be short and joined by shuffle if not.
+    """
+    rule = rule or Jaccard()
+    rows, classes, links = similar_sets(docs, rule, id, text)
+    roots = components(links).withColumnRenamed("node", "c")
+    rooted = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "c")).alias("top"))
+    stays = classes.join(best.select(F.col("top.c").alias("c"), F.lit(True).alias("best")), "c", "left")
+    stays = stays.select("a", "b", "n", F.col("id").alias("first"), "best")
+    each = rows.filter("n > 0").groupBy("id", "a", "b", "n").agg(F.count(F.lit(1)).alias("times"))
+    each = each.join(stays.hint("merge"), ["a", "b", "n"])
+    stay = F.coalesce("best", F.lit(False)) & F.col("id").eqNullSafe(F.col("first"))
+    listed = each.select("id", "a", "b", stay.alias("stay"), "times").filter(~F.col("stay") | (F.col("times") > 1))
+    listed = written(listed.drop("times"), "listed")
+    row = F.struct(*[named(c) for c in docs.columns]).alias("row")
+    packed = docs.select(row, named(id).alias("i"), named(text).alias("text"))
+
+    def digests(texts):
+        return list(zip(*[set_digest(ngrams(t, rule.words)) for t in texts]))
+
+    own = annotate(packed, "text", digests, [T.StructField("da", T.LongType()), T.StructField("db", T.LongType())], ["row", "i"])
+    marks = F.broadcast(listed) if listed.count() <= MAX_BROADCAST_ROWS else listed
+    same = own["i"].eqNullSafe(marks["id"]) & (own["da"] == marks["a"]) & (own["db"] == marks["b"])
+    judged = own.join(marks, same, "left").select("row", "i", "da", "db", "stay")
+    out = judged.filter("stay is null").select("row.*")
+    if listed.filter("stay").isEmpty():
+        return out
+    first = F.row_number().over(Window.partitionBy("i", "da", "db").orderBy(F.xxhash64("row")))
+    return out.unionAll(judged.filter("stay").withColumn("k", first).filter("k = 1").select("row.*"))
