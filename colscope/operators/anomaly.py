@@ -12,16 +12,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 # Tasks get this module's functions with the query, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_SIZE = 256
-EULER_GAMMA = 0.5772156649
+EULER_GAMMA = 0.57721566490153286
+# Fixed value: the truncated constant of the legacy form.
+LEGACY_GAMMA = 0.5772156649
 NODE_SCHEMA = "tree int, node int, left int, right int, feature int, threshold double, size long, sample long"
-# Up to this many rows, every tree draws from all rows; beyond, samples are disjoint.
-_REUSE_ROWS = 200_000
 
 
 def average_path(n: float, legacy: bool = False) -> float:
@@ -30,7 +28,7 @@ def average_path(n: float, legacy: bool = False) -> float:
     ``legacy`` truncates the value (and the ratio inside it) to whole numbers.
     """
     if legacy:
-        return float(int(2 * (math.log(n - 1) + EULER_GAMMA) - (2 * (n - 1) // n))) if n > 1 else 1.0
+        return float(int(2 * (math.log(n - 1) + LEGACY_GAMMA) - (2 * (n - 1) // n))) if n > 1 else 1.0
     if n <= 1:
         return 0.0
     return 1.0 if n <= 2 else 2 * (math.log(n - 1) + EULER_GAMMA) - 2 * (n - 1) / n
@@ -60,18 +58,27 @@ def _grow(points: np.ndarray, rng: np.random.Generator, height: int) -> list[tup
 
 
 def sample_for_trees(features: DataFrame, trees: int, sample_size: int, seed: int) -> DataFrame:
-    """Rows tagged with the tree they are drawn for, about ``sample_size`` per tree.
+    """Rows tagged with the trees they are drawn for: each tree draws each row with the same chance, independently.
 
-    Small tables let every tree draw from all rows.  In large ones a row serves at most one tree, so the
-    draw is one Bernoulli scan.
+    A row skips from one of its trees to the next by geometric gaps, so it costs what it is drawn, not the number of
+    trees, and the rule is the same for any number of rows.
     """
-    total = max(features.count(), 1)
-    if total <= _REUSE_ROWS:
-        rate = min(1.0, sample_size / total)
-        tagged = features.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        return tagged.filter(F.rand(seed) < rate) if rate < 1 else tagged
-    rate = min(1.0, trees * sample_size / total)
-    return features.filter(F.rand(seed) < rate).withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
+    rate = min(1.0, sample_size / max(features.count(), 1))
+    if rate == 1:
+        return features.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    mean = trees * rate
+    # All steps that a row can take, but for a chance beyond 1e-12.
+    steps = min(trees, math.ceil(mean + 12 * math.sqrt(mean) + 25))
+    drawn = features.withColumn("__draw", F.rand(seed))
+
+    def gap(step: Column) -> Column:
+        u = (F.pmod(F.xxhash64("__draw", step), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        return F.least(F.floor(F.log(u) / math.log1p(-rate)), F.lit(trees)).cast("int") + 1
+
+    places = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), gap), F.array().cast("array<int>"),
+                         lambda done, g: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(-1)) + g)))
+    chosen = F.filter(places, lambda t: t < trees)
+    return drawn.select(*features.columns, F.explode(chosen).alias("tree"))
 
 
 def feature_columns(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -167,13 +174,20 @@ def anomaly_score(forest: Forest, columns: list[Column]) -> Column:
 
 
 def score_anomalies(df: DataFrame, columns: list[str], trees: int = 100, sample_size: int = SAMPLE_SIZE,
-                    seed: int = 1337, keep: list[str] | None = None, legacy: bool = False) -> DataFrame:
-    """``anomaly_score`` in front of the feature columns (and ``keep``) for every row."""
+                    seed: int = 1337, keep: list[str] | None = None, legacy: bool = False,
+                    partitions: int | None = None) -> DataFrame:
+    """``anomaly_score`` in front of the feature columns (and ``keep``) for every row; no rows give no rows.
+
+    ``partitions`` deals the rows out anew, for an input that comes in few large pieces.
+    """
+    kept = [c for c in (keep or []) if c not in columns]
+    rows = df.select(*kept, *columns)
+    if df.isEmpty():
+        return rows.select(F.lit(None).cast("double").alias("anomaly_score"), *kept, *columns)
     nodes = build_forest(df, columns, trees, sample_size, seed, legacy_height=legacy)
     forest = collect_forest(nodes, legacy, df.count() if legacy else None)
     score = anomaly_score(forest, feature_columns(df, columns)).alias("anomaly_score")
-    kept = [c for c in (keep or []) if c not in columns]
-    return spread(df.select(*kept, *columns)).select(score, *kept, *columns)
+    return (rows.repartition(partitions) if partitions else rows).select(score, *kept, *columns)
 
 
 def sorted_anomalies(scored: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -22,20 +22,21 @@ def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
 
 
 def deep_page(df: DataFrame, key: str, number: int, size: int) -> DataFrame:
-    """Any page in the order of a unique numeric key.
+    """Any page in the order of a unique numeric key that is never null; a null key is an error.
 
-    Quantile sketches bracket the wanted ranks; rows below the bracket are counted, and only rows inside it
-    are ordered.
+    Quantile sketches bracket the wanted ranks, with a margin of more than their error and two ranks more for small
+    tables; rows below the bracket are counted, and only rows inside it are ordered.
     """
     skip = size * (number - 1)
-    total = df.count()
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).first()
+    total = counted["rows"]
+    if counted["keys"] < total:
+        raise ValueError(f"{key} is null in {total - counted['keys']} rows")
     if skip >= total:
         return df.limit(0)
-    # The 2-rank allowance keeps both ends of the page inside for small tables too.
     probs = [max(0.0, (skip - 2) / total), min(1.0, (skip + size + 2) / total)]
-    marks = df.agg(F.array(*bracket_columns(F.col(key), probs)[1:3]).alias("ends"),
-                   bracket_columns(F.col(key), probs)[3].alias("marks")).first()
-    low, high = (marks["ends"] if total <= 100_000 else (marks["marks"][0], marks["marks"][-1]))
+    marks = df.agg(bracket_columns(F.col(key), probs)[3].alias("marks")).first()["marks"]
+    low, high = marks[0], marks[-1]
     below = df.filter(F.col(key) < F.lit(low)).count()
     inside = df.filter(F.col(key).between(F.lit(low), F.lit(high)))
     return inside.orderBy(key).offset(skip - below).limit(size)

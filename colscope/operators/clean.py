@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small_table
 from ..specs import CATEGORY, DATE, MISSING, TEXT, ColumnSpec
+from .infer import trimmed
 
 # Fixed value: the text form of a number that cleaning keeps.
 CLEAN_NUMBER = r"^[-+]?\d+(\.\d+)?$"
+WHOLE_TYPES = ("int", "bigint", "decimal(38,0)")
 
 
 def rename_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -25,9 +25,9 @@ def kept_columns(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
 
 
 def clean_number(x: Column) -> Column:
-    """Trimmed text of a plain number, null for anything else."""
-    trimmed = F.trim(x.cast("string"))
-    return F.when(trimmed.rlike(CLEAN_NUMBER), trimmed)
+    """Text of a plain number without blanks and control characters around it, null for anything else."""
+    text = trimmed(x.cast("string"))
+    return F.when(text.rlike(CLEAN_NUMBER), text)
 
 
 def clean_text(x: Column) -> Column:
@@ -35,10 +35,10 @@ def clean_text(x: Column) -> Column:
 
 
 def number_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Physical type of each cleaned number: double if any value has a point, else integer.
+    """Physical type of each cleaned number: double if any value has a point, else the least that holds all.
 
     Columns that already are numbers keep their type unread.  The text ones are settled together in one
-    aggregation; whole numbers beyond 32 bits make the column long.
+    aggregation; whole numbers beyond 32 bits make the column long, beyond 64 bits a decimal, beyond that a double.
     """
     found, text = {}, []
     for c in columns:
@@ -53,10 +53,13 @@ def number_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
         flags = []
         for c in text:
             x = clean_number(F.col(c))
-            flags += [F.max(F.contains(x, F.lit("."))), F.max(x.isNotNull() & x.try_cast("int").isNull())]
+            too_wide = [F.max(x.isNotNull() & x.try_cast(t).isNull()) for t in WHOLE_TYPES]
+            flags += [F.max(F.contains(x, F.lit("."))), *too_wide]
         row = df.agg(*[f.alias(f"f{i}") for i, f in enumerate(flags)]).first()
+        step = 1 + len(WHOLE_TYPES)
         for i, c in enumerate(text):
-            found[c] = "double" if row[2 * i] else "bigint" if row[2 * i + 1] else "int"
+            points, *wide = row[step * i:step * (i + 1)]
+            found[c] = "double" if points else next((t for t, w in zip(WHOLE_TYPES, wide) if not w), "double")
     return found
 
 
@@ -81,10 +84,10 @@ def clean(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     return cast_columns(renamed, visible) if visible else renamed.select()
 
 
-def retyped(x: Column, spec: ColumnSpec) -> Column:
+def retyped(x: Column, spec: ColumnSpec, already_number: bool = False) -> Column:
     """A column after an update: numbers as double (null where they do not parse), text with nulls marked."""
     if spec.numeric:
-        return x.cast("string").try_cast("double")
+        return x.cast("double") if already_number else x.cast("string").try_cast("double")
     return clean_text(x) if spec.datatype in (TEXT, CATEGORY, DATE) else x
 
 
@@ -93,14 +96,16 @@ def update_columns(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
 
     Formulas see the original names, those of deleted columns included.
     """
-    out = []
+    sources = []
     for s in specs:
         if s.status == "deleted":
             continue
         calculated = s.status == "new" or (s.status == "modified" and s.calculated)
         source = (s.formula if isinstance(s.formula, Column) else F.expr(s.formula)) if calculated else F.col(s.name)
-        out.append(retyped(source, s).alias(s.final_name))
-    return df.select(*out)
+        sources.append((s, source))
+    kinds = df.select(*[x.alias(f"c{i}") for i, (_, x) in enumerate(sources)]).schema  # analysed only
+    return df.select(*[retyped(x, s, isinstance(kinds[i].dataType, T.NumericType)).alias(s.final_name)
+                       for i, (s, x) in enumerate(sources)])
 
 
 def dataset_size(df: DataFrame) -> DataFrame:
@@ -120,12 +125,3 @@ def as_preview(df: DataFrame, null_text: str = "") -> DataFrame:
     """All columns as text named by position, nulls replaced."""
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(null_text)).alias(f"_c{i}")
                        for i, c in enumerate(df.columns)])
-
-
-def spec_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """The column specs as a table (position, column, datatype, format, decimal)."""
-    rows = [{"position": s.position, "column": s.name, "datatype": s.datatype, "format": s.format,
-             "decimal": s.decimal} for s in specs]
-    return small_table(df.sparkSession, rows, pa.schema([
-        ("position", pa.int32()), ("column", pa.string()), ("datatype", pa.string()), ("format", pa.string()),
-        ("decimal", pa.int32())]))

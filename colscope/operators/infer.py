@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import on_driver, spread
+from ..session import on_driver
 from ..specs import AUTO_DETECT, CATEGORY, DATE, NUMBER, PERCENTAGE, TEXT, ColumnSpec
 from .distinct import small_distinct_counts
 
@@ -48,7 +48,7 @@ def _kind(code: Column) -> Column:
     ]), code + 1)
 
 
-def _trimmed(value: Column) -> Column:
+def trimmed(value: Column) -> Column:
     """Value without blanks and control characters at its ends; most values have none, so those are tested first."""
     clean = (F.substring(value, 1, 1) > " ") & (F.substring(value, -1, 1) > " ")
     return F.when(clean, value).otherwise(F.btrim(value, F.lit(_BLANKS)))
@@ -104,7 +104,7 @@ def _value_codes(df: DataFrame, columns: list[str], legacy: bool) -> DataFrame:
     parts = [long(names, kind).select("column", _number_code(F.col("value"), names is fractions).alias("code"))
              for names, kind in ((wholes, "bigint"), (fractions, "double")) if names]
     if texts:
-        steps = long(texts, "string").select("column", _trimmed(F.coalesce("value", F.lit(""))).alias("s"))
+        steps = long(texts, "string").select("column", trimmed(F.coalesce("value", F.lit(""))).alias("s"))
         steps = steps.select("column", "s", _parsed(F.col("s")).alias("n"))
         parts.append(steps.select("column", _text_code(F.col("s"), F.col("n"), legacy).alias("code")))
     return reduce(DataFrame.unionAll, parts)
@@ -112,7 +112,7 @@ def _value_codes(df: DataFrame, columns: list[str], legacy: bool) -> DataFrame:
 
 def value_types(df: DataFrame, value: str, legacy: bool = False) -> DataFrame:
     """``df`` with the datatype, format and decimal places of each value of a text column."""
-    steps = df.withColumn("_s", _trimmed(F.coalesce(F.col(value), F.lit(""))))
+    steps = df.withColumn("_s", trimmed(F.coalesce(F.col(value), F.lit(""))))
     steps = steps.withColumn("_n", _parsed(F.col("_s")))
     typed = steps.withColumn("_kind", _kind(_text_code(F.col("_s"), F.col("_n"), legacy)))
     return typed.select(*df.columns, "_kind.datatype", "_kind.format", "_kind.decimal")
@@ -143,18 +143,21 @@ def _resolve(kinds: Column, few_values: Column, legacy: bool) -> Column:
     )
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = SAMPLE_ROWS,
-                order_by: list[str] | None = None, legacy: bool = False) -> DataFrame:
-    """(column, datatype, format, decimal) of every column.
+def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None,
+                order_by: list[str] | None = None, legacy: bool = False, partitions: int | None = None) -> DataFrame:
+    """(column, datatype, format, decimal) of every column, from all rows or the first ``sample_rows``.
 
-    By default from the first rows (by ``order_by`` if given); ``sample_rows=None`` reads all of them, in
-    which case values are never shuffled: each task reduces a column to its few value types.
+    Values of all rows are never shuffled: each task reduces a column to its few value types.  First rows are those
+    in the order of ``order_by`` (of all columns if not given), fetched once.  ``partitions`` deals the rows out anew,
+    for an input that comes in few large pieces.
     """
     columns = columns or df.columns
     if sample_rows is not None:
-        df = (df.orderBy(*order_by) if order_by else df).limit(sample_rows)
+        df = on_driver(df.orderBy(*(order_by or df.columns)).limit(sample_rows))
+    elif partitions:
+        df = df.repartition(partitions)
     # A handful of (column, type) rows per task reach the shuffle, and the result lives on the driver from here on.
-    codes = _value_codes(df if sample_rows is not None else spread(df), columns, legacy)
+    codes = _value_codes(df, columns, legacy)
     counts = codes.groupBy("column", "code").agg(F.count(F.lit(1)).alias("n"))
     kinds = on_driver(counts.groupBy("column").agg(
         F.sort_array(F.collect_set(F.when(F.col("code") != _NULL, _kind(F.col("code"))))).alias("kinds")))

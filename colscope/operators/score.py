@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 from .trees import CLASSIFICATION, TreeModel
 
 
-def split_probability(df: DataFrame, target: str, classes: int = 2, probability: str = "probability") -> DataFrame:
-    """Class probabilities as columns ``<target>_1`` .. ``<target>_<classes>`` in place of the vector."""
-    values = vector_to_array(F.col(probability))
-    return df.withColumns({f"{target}_{i + 1}": values[i] for i in range(classes)}).drop(probability, "rawPrediction")
-
-
 def score(df: DataFrame, model: TreeModel, target: str | None = None, keep: list[str] | None = None,
           classes: int | None = 2) -> DataFrame:
     """Inputs (and ``keep`` columns) of the complete rows with the prediction as the ``target`` column.

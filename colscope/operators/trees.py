@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from ..session import spread
 from .clean import complete_rows
 from .distinct import small_distinct_counts
-from .split import random_split
+from .split import TEST, TRAIN, with_part
 
+PART = "__part"
 TREE, FOREST, BOOSTED = "decision_tree", "random_forest", "gradient_boosted_trees"
 CLASSIFICATION, REGRESSION = "classification", "regression"
 # A numeric input with fewer values is a category; a numeric label with more is regressed.
@@ -29,6 +29,12 @@ MAX_LABEL_CLASSES = {TREE: 10, FOREST: 10, BOOSTED: 2}
 
 @dataclass(frozen=True)
 class TreeSettings:
+    """What is trained, and how.
+
+    ``key`` names the columns whose hash decides between training and test rows (the inputs and the label if there is
+    none).  ``partitions`` deals the training rows out anew, for an input that comes in few large pieces.
+    """
+
     features: list[str]
     label: str
     algorithm: str = TREE
@@ -45,6 +51,8 @@ class TreeSettings:
     folds: int = 2
     seed: int = 1337
     parallelism: int = 2
+    key: tuple[str, ...] = ()
+    partitions: int | None = None
     grid: dict[str, list] = field(default_factory=dict)
 
 
@@ -133,8 +141,16 @@ def _check_categories(distinct: dict[str, int], categorical: list[str], kind: st
 
 
 def fit(df: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFrame]:
-    """Train with k-fold cross-validation; returns the model and its training and test rows."""
-    data = spread(complete_rows(df, [*s.features, s.label])).persist(StorageLevel.MEMORY_AND_DISK)
+    """Train with k-fold cross-validation; returns the model and its training and test rows.
+
+    The part of a row is a column made from a hash, so the returned rows are those that were and were not trained on,
+    also when they are computed again.
+    """
+    inputs = [*s.features, s.label]
+    data = complete_rows(df, inputs) if not s.key else df.select(
+        *dict.fromkeys([*inputs, *s.key])).na.drop(subset=inputs)
+    data = with_part(data, list(s.key) or inputs, s.train, s.test, s.seed, PART)
+    data = (data.repartition(s.partitions) if s.partitions else data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit(data, s)
     finally:
@@ -160,7 +176,7 @@ def _fit(data: DataFrame, s: TreeSettings) -> tuple[TreeModel, DataFrame, DataFr
         labelled = label_indexer.transform(data)
     else:
         labelled = data.withColumn("__label", F.col(s.label).cast("double"))
-    train, test = random_split(labelled, s.train, s.test, s.seed)
+    train, test = labelled.filter(F.col(PART) == TRAIN), labelled.filter(F.col(PART) == TEST)
     estimator = _estimator(s, kind)
     stages.append(estimator)
     if kind == CLASSIFICATION:

@@ -42,34 +42,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
-    return df.checkpoint()
-
-
 def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A driver-side table of metadata size (columns, bins, tree nodes)."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
-_SPREAD_BYTES = 2 * 1024**3
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input of few files for CPU-heavy work; other inputs are left as they are.
-
-    The plan's file list and size estimate decide, so nothing is run.  At most 2 GB are ever moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < _SPREAD_BYTES else df
-
-
 def on_driver(df: DataFrame) -> DataFrame:
     """A table of metadata size (a row per column, node or bin), computed now and kept as a local relation."""
     return df.sparkSession.createDataFrame(df.toArrow())

@@ -63,7 +63,8 @@ def isolation_forest_nodes(spark, folder):
 
 @query("anomaly_scores")
 def anomaly_scores(spark, folder):
-    return an.score_anomalies(table(spark, folder, "lineitem"), _FEATURES, trees=20, keep=["l_orderkey", "l_linenumber"])
+    return an.score_anomalies(table(spark, folder, "lineitem"), _FEATURES, trees=20, keep=["l_orderkey", "l_linenumber"],
+                              partitions=8)
 
 
 @query("anomaly_scores_sorted")
@@ -77,3 +78,30 @@ def top_anomalies(spark, folder):
     """A top-k report is the feature."""
     scored = an.score_anomalies(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"], trees=20, keep=["o_orderkey"])
     return an.top_anomalies(scored, 100, ["o_orderkey"])
+
+
+@query("isolation_forest_invariants", """
+    SELECT i AS tree, true AS sizes_add_up, true AS one_leaf_more, true AS sample_as_asked
+    FROM (SELECT unnest(range(20))::INTEGER AS i) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def isolation_forest_invariants(spark, folder):
+    """Of each tree: children's sizes add up to their parent's, and leaves are one more than inner nodes."""
+    nodes = an.build_forest(table(spark, folder, "lineitem"), _FEATURES, trees=20)
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("size").alias("child_size"))
+    inner = nodes.filter("left >= 0").select("tree", "node", "size", F.explode(F.array("left", "right")).alias("child"))
+    sums = inner.join(child, ["tree", "child"]).groupBy("tree", "node").agg(
+        (F.max("size") == F.sum("child_size")).alias("adds")).groupBy("tree").agg(F.min("adds").alias("sizes_add_up"))
+    shape = nodes.groupBy("tree").agg(
+        (F.count_if(F.col("left") < 0) == F.count_if(F.col("left") >= 0) + 1).alias("one_leaf_more"),
+        F.max("sample").between(256 - 6 * 16, 256 + 6 * 16).alias("sample_as_asked"))
+    return shape.join(sums, "tree").select("tree", "sizes_add_up", "one_leaf_more", "sample_as_asked")
+
+
+@query("planted_outliers_on_top", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3")
+def planted_outliers_on_top(spark, folder):
+    """Three rows moved far away have the three highest scores."""
+    df = table(spark, folder, "orders")
+    far = df.orderBy("o_orderkey").limit(3).select("o_orderkey", F.lit(1e7).alias("far"))
+    moved = df.join(F.broadcast(far), "o_orderkey", "left").select(
+        "o_orderkey", *[(F.col(c) + F.coalesce("far", F.lit(0.0))).alias(c) for c in ("o_totalprice", "o_custkey")])
+    scored = an.score_anomalies(moved, ["o_totalprice", "o_custkey"], trees=100, keep=["o_orderkey"])
+    return an.top_anomalies(scored, 3, ["o_orderkey"]).select("o_orderkey")

@@ -87,7 +87,7 @@ _DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 @query("infer_column_types_all_rows", _columns_sql(_long_sql("lineitem", _LINEITEM)))
 def infer_column_types_all_rows(spark, folder):
-    return inf.infer_types(table(spark, folder, "lineitem"), _LINEITEM, sample_rows=None)
+    return inf.infer_types(table(spark, folder, "lineitem"), _LINEITEM, partitions=8)
 
 
 @query("infer_document_types", _columns_sql(_long_sql("documents", _DOCUMENTS)))
@@ -101,7 +101,7 @@ def infer_document_types(spark, folder):
 def infer_column_types_preview(spark, folder):
     return inf.infer_types(table(spark, folder, "orders"),
                            ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority"],
-                           order_by=["o_orderkey"])
+                           sample_rows=inf.SAMPLE_ROWS, order_by=["o_orderkey"])
 
 
 _FLAGS_SQL = """SELECT 'quality' AS "column", cast(quality AS varchar) AS value FROM labels UNION ALL

@@ -1,28 +1,32 @@
 """Tree models: preparation, quality, explanation, training and scoring."""
 
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import explain as ex
 from ..operators import trees as tr
 from ..operators.score import score
-from ..session import shared_folder
+from ..session import shared_folder, small_table
 from .registry import query, r6, table
 
 # --- preparation ---------------------------------------------------------------------------------------------
 
 
+def _few(column: str, values: int) -> str:
+    return f"typeof(any_value({column})) = 'VARCHAR' OR count(DISTINCT {column}) < {values}"
+
+
+_KIND_COLUMNS = ["l_quantity", "l_discount", "l_orderkey", "l_linenumber", "l_returnflag"]
+
+
 @query("feature_kinds", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {rule} AS categorical FROM lineitem" for c, rule in (
-        ("l_quantity", "count(DISTINCT l_quantity) < 20"), ("l_discount", "count(DISTINCT l_discount) < 20"),
-        ("l_orderkey", "count(DISTINCT l_orderkey) < 20"), ("l_linenumber", "count(DISTINCT l_linenumber) < 20"),
-        ("l_returnflag", "count(*) >= 0"))))
+    f"SELECT '{c}' AS \"column\", {_few(c, 20)} AS categorical FROM lineitem" for c in _KIND_COLUMNS))
 def feature_kinds(spark, folder):
-    df = table(spark, folder, "lineitem")
-    columns = ["l_quantity", "l_discount", "l_orderkey", "l_linenumber", "l_returnflag"]
-    categorical, _ = tr.split_features(df, columns)
-    names = F.explode(F.array(*map(F.lit, columns))).alias("column")
-    return df.agg(F.count(F.lit(1)).alias("n")).select(names).withColumn("categorical", F.col("column").isin(categorical))
+    categorical, _ = tr.split_features(table(spark, folder, "lineitem"), _KIND_COLUMNS)
+    return small_table(spark, [{"column": c, "categorical": c in categorical} for c in _KIND_COLUMNS],
+                       pa.schema([("column", pa.string()), ("categorical", pa.bool_())]))
 
 
 @query("category_indexes", """
@@ -42,25 +46,29 @@ def category_indexes_fitted(spark, folder):
     return indexed.select("o_orderkey", F.col("o_orderpriority__index").alias("priority_index"))
 
 
-@query("assembled_features")
+@query("assembled_features", """
+    SELECT l_orderkey, l_linenumber, cast(place AS double) AS f0, cast(l_quantity AS double) AS f1, cast(l_tax AS double) AS f2
+    FROM lineitem JOIN (SELECT l_returnflag AS flag, row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS place
+                        FROM lineitem GROUP BY 1) ON l_returnflag = flag""")
 def assembled_features(spark, folder):
     df = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_tax")
     indexed = tr.index_categories(df, ["l_returnflag"]).transform(df)
     rows = tr.assemble(["l_returnflag"], ["l_quantity", "l_tax"]).transform(indexed)
-    return rows.select("l_orderkey", "l_linenumber", F.col("__features").cast("string").alias("features"))
+    parts = vector_to_array("__features")
+    return rows.select("l_orderkey", "l_linenumber", *[parts[i].alias(f"f{i}") for i in range(3)])
 
 
-@query("task_kinds", """
-    SELECT 'l_returnflag' AS label, 'decision_tree' AS algorithm, CASE WHEN count(*) >= 0 THEN 'classification' END AS kind FROM lineitem
-    UNION ALL SELECT 'l_extendedprice', 'decision_tree', CASE WHEN count(DISTINCT l_extendedprice) > 10 THEN 'regression' ELSE 'classification' END FROM lineitem
-    UNION ALL SELECT 'l_linenumber', 'decision_tree', CASE WHEN count(DISTINCT l_linenumber) > 10 THEN 'regression' ELSE 'classification' END FROM lineitem
-    UNION ALL SELECT 'l_linenumber', 'gradient_boosted_trees', CASE WHEN count(DISTINCT l_linenumber) >= 3 THEN 'regression' ELSE 'classification' END FROM lineitem""")
+_TASKS = [("l_returnflag", tr.TREE, 11), ("l_extendedprice", tr.TREE, 11), ("l_linenumber", tr.TREE, 11),
+          ("l_linenumber", tr.BOOSTED, 3)]
+
+
+@query("task_kinds", " UNION ALL ".join(
+    f"SELECT '{c}' AS label, '{a}' AS algorithm, CASE WHEN {_few(c, n)} THEN 'classification' ELSE 'regression' END AS kind FROM lineitem"
+    for c, a, n in _TASKS))
 def task_kinds(spark, folder):
     df = table(spark, folder, "lineitem")
-    cases = [("l_returnflag", tr.TREE), ("l_extendedprice", tr.TREE), ("l_linenumber", tr.TREE), ("l_linenumber", tr.BOOSTED)]
-    found = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(a).alias("algorithm"), F.lit(tr.task_kind(df, c, a)).alias("kind"))
-                      for c, a in cases])
-    return df.agg(F.count(F.lit(1))).select(F.inline(found))
+    rows = [{"label": c, "algorithm": a, "kind": tr.task_kind(df, c, a)} for c, a, _ in _TASKS]
+    return small_table(spark, rows, pa.schema([(c, pa.string()) for c in ("label", "algorithm", "kind")]))
 
 
 # --- quality, on predictions made by rule --------------------------------------------------------------------
@@ -200,9 +208,13 @@ _CLASSIFY = {"features": _INPUTS, "label": "l_returnflag", "max_depth": 3}
 _REGRESS = {"features": ["l_quantity", "l_discount", "l_linestatus"], "label": "l_extendedprice", "max_depth": 3}
 
 
+# The test tables come as one row group, so training deals them out to this many tasks.
+_PARTITIONS = 8
+
+
 def _scored(spark, folder, name="lineitem", source=None, **settings):
     df = source if source is not None else table(spark, folder, name)
-    model, _, _ = tr.fit(df, tr.TreeSettings(**settings))
+    model, _, _ = tr.fit(df, tr.TreeSettings(partitions=_PARTITIONS, **settings))
     return model, score(df, model, "predicted", keep=[settings["label"]])
 
 
@@ -233,8 +245,10 @@ def _quality_rows(spark, folder):
 
 @query("boosted_trees_classifier")
 def boosted_trees_classifier(spark, folder):
-    return _scored(spark, folder, source=_quality_rows(spark, folder), algorithm=tr.BOOSTED, features=["n_chars", "lang", "source"],
-                   label="quality", iterations=3, max_depth=3)[1]
+    """Learned from the labelled documents, applied to all."""
+    settings = tr.TreeSettings(algorithm=tr.BOOSTED, features=["n_chars", "lang", "source"], label="quality", iterations=3, max_depth=3)
+    model, _, _ = tr.fit(_quality_rows(spark, folder), settings)
+    return score(table(spark, folder, "documents"), model, "predicted", keep=["doc_id"])
 
 
 @query("boosted_trees_regressor")
@@ -245,7 +259,7 @@ def boosted_trees_regressor(spark, folder):
 @query("cross_validated_grid")
 def cross_validated_grid(spark, folder):
     """Mean accuracy of each candidate depth."""
-    settings = tr.TreeSettings(**_CLASSIFY, folds=3, grid={"maxDepth": [2, 3]})
+    settings = tr.TreeSettings(**_CLASSIFY, folds=3, grid={"maxDepth": [2, 3]}, partitions=_PARTITIONS)
     model, _, _ = tr.fit(table(spark, folder, "lineitem"), settings)
     return spark.createDataFrame([(d, float(m)) for d, m in zip((2, 3), model.model.avgMetrics)], "max_depth int, accuracy double")
 
@@ -278,7 +292,93 @@ def variable_importance(spark, folder):
 def saved_model_scores(spark, folder):
     """Scores of a model that was saved and loaded again, with its class probabilities."""
     df = table(spark, folder, "lineitem")
-    model, _, _ = tr.fit(df, tr.TreeSettings(**_CLASSIFY))
+    model, _, _ = tr.fit(df, tr.TreeSettings(partitions=_PARTITIONS, **_CLASSIFY))
     path = shared_folder(spark, "model")
     tr.save_model(model, path)
     return score(df, tr.load_model(path, "l_returnflag"), "predicted", keep=["l_orderkey", "l_linenumber"], classes=None)
+
+
+# --- models of an exact rule: what they predict can be said in SQL -------------------------------------------
+
+_RULE = "CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END"
+_VALUE = "10 * floor(l_quantity / 4) + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END"
+_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _rule_rows(spark, folder):
+    return table(spark, folder, "lineitem").select(
+        *_KEYS, "l_quantity", "l_discount", "l_linestatus", F.expr(_RULE).alias("size"), F.expr(_VALUE).alias("value"))
+
+
+def _fit_rule(spark, folder, label="size", **settings):
+    df = _rule_rows(spark, folder)
+    features = ["l_quantity", "l_discount"] if label == "size" else ["l_quantity", "l_linestatus"]
+    model, _, _ = tr.fit(df, tr.TreeSettings(features=features, label=label, train=100, test=0, max_bins=64,
+                                             partitions=_PARTITIONS, **settings))
+    return df, model
+
+
+def _predicted_rule(spark, folder, **settings):
+    df, model = _fit_rule(spark, folder, **settings)
+    return score(df, model, "predicted", keep=_KEYS).select(*_KEYS, "predicted")
+
+
+_RULE_SQL = f"SELECT l_orderkey, l_linenumber, {_RULE} AS predicted FROM lineitem"
+_VALUE_SQL = f"SELECT l_orderkey, l_linenumber, round(cast({_VALUE} AS double), 6) AS predicted FROM lineitem"
+
+
+@query("exact_rule_tree", _RULE_SQL)
+def exact_rule_tree(spark, folder):
+    return _predicted_rule(spark, folder, max_depth=2)
+
+
+@query("exact_rule_forest", _RULE_SQL)
+def exact_rule_forest(spark, folder):
+    return _predicted_rule(spark, folder, algorithm=tr.FOREST, trees=3, feature_subset="all", max_depth=2)
+
+
+@query("exact_rule_boosted", _RULE_SQL)
+def exact_rule_boosted(spark, folder):
+    return _predicted_rule(spark, folder, algorithm=tr.BOOSTED, iterations=2, max_depth=2)
+
+
+@query("exact_rule_regression_tree", _VALUE_SQL)
+def exact_rule_regression_tree(spark, folder):
+    return _predicted_rule(spark, folder, label="value", max_depth=8).withColumn("predicted", r6("predicted"))
+
+
+@query("exact_rule_saved_scores", f"""
+    WITH r AS (SELECT l_orderkey, l_linenumber, {_RULE} AS size FROM lineitem),
+    top AS (SELECT size AS first FROM r GROUP BY 1 ORDER BY count(*) DESC, size LIMIT 1)
+    SELECT l_orderkey, l_linenumber, (size = first)::int::double AS predicted_1, (size <> first)::int::double AS predicted_2,
+           size AS predicted FROM r, top""")
+def exact_rule_saved_scores(spark, folder):
+    """Labels and class probabilities of a model that was saved and loaded again."""
+    df, model = _fit_rule(spark, folder, max_depth=2)
+    path = shared_folder(spark, "model")
+    tr.save_model(model, path)
+    scored = score(df, tr.load_model(path, "size"), "predicted", keep=_KEYS)
+    return scored.select(*_KEYS, "predicted_1", "predicted_2", "predicted")
+
+
+@query("exact_rule_importance", """
+    SELECT * FROM (VALUES ('l_quantity', 1.0::double), ('l_discount', 0.0::double)) v(feature, importance) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def exact_rule_importance(spark, folder):
+    _, model = _fit_rule(spark, folder, max_depth=2)
+    return tr.variable_importance(model, spark)
+
+
+@query("train_test_parts", """
+    SELECT count(*) AS rows, 0::BIGINT AS in_both, 0::BIGINT AS in_none, true AS share_as_asked
+    FROM lineitem WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL""")
+def train_test_parts(spark, folder):
+    """The parts that training returns: every row is in one of them, in about the shares that were asked for."""
+    df = table(spark, folder, "lineitem")
+    _, train, test = tr.fit(df, tr.TreeSettings(["l_quantity"], "l_returnflag", max_depth=1, key=tuple(_KEYS), partitions=_PARTITIONS))
+    flags = ("source", "train", "test")
+    parts = [d.select(*_KEYS, *[F.lit(int(f == name)).alias(f) for f in flags]) for d, name in zip((df, train, test), flags)]
+    each = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy(*_KEYS).agg(*[F.sum(f).alias(f) for f in flags])
+    share = F.sum("train") / F.sum("source")
+    return each.agg(F.sum("source").alias("rows"), F.count_if((F.col("train") > 0) & (F.col("test") > 0)).alias("in_both"),
+                    F.sum(F.abs(F.col("source") - F.col("train") - F.col("test"))).alias("in_none"),
+                    share.between(0.75, 0.85).alias("share_as_asked"))

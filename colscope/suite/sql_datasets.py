@@ -28,7 +28,8 @@ SHARED = {
         SELECT c_custkey, c_name FROM customer
         WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     "sql_anti_join": """
-        SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+        SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (
+            SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     "sql_group_by": """
         SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity,
                round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount,
@@ -65,7 +66,7 @@ SHARED = {
         SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer
         UNION ALL SELECT s_nationkey FROM supplier) both_kinds GROUP BY nation""",
     "sql_intersect": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_except": "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9500",
     "sql_scalar_subquery": "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)",
     "sql_correlated_subquery": """
         SELECT o_orderkey FROM orders o
@@ -103,19 +104,26 @@ def sql_dataset_from_tables(spark, folder):
 
 @query("sql_range_join", """
     SELECT b.name, count(*) AS parts, round(avg(p_retailprice), 4) AS mean_price
-    FROM part JOIN (SELECT p_type AS name, min(p_retailprice) + 50 AS lo, max(p_retailprice) - 50 AS hi
-                    FROM part GROUP BY p_type) b ON p_retailprice >= b.lo AND p_retailprice < b.hi
+    FROM part JOIN (SELECT p_brand AS name, min(p_retailprice) + 5 AS lo, max(p_retailprice) - 5 AS hi
+                    FROM part GROUP BY p_brand) b ON p_retailprice >= b.lo AND p_retailprice < b.hi
     GROUP BY b.name""")
 def sql_range_join(spark, folder):
-    """A range join as an equi-join on price steps of 100, which hashes where the plain form compares all rows."""
+    """A range join as an equi-join on price steps, which hashes where the plain form compares all rows.
+
+    Steps are a sixteenth of the widest band, so a band meets few of them, and parts are added up per price first, so
+    the join's rows are prices and bands.
+    """
     register_views({"part": table(spark, folder, "part")})
     return spark.sql("""
-        WITH bands AS (SELECT p_type AS name, min(p_retailprice) + 50 AS lo, max(p_retailprice) - 50 AS hi
-                       FROM part GROUP BY p_type),
-             steps AS (SELECT *, explode(sequence(floor(lo / 100), floor(hi / 100))) AS step FROM bands WHERE lo < hi),
-             priced AS (SELECT p_retailprice, floor(p_retailprice / 100) AS step FROM part)
-        SELECT name, count(*) AS parts, round(avg(p_retailprice), 4) AS mean_price
-        FROM priced JOIN steps ON priced.step = steps.step AND p_retailprice >= lo AND p_retailprice < hi
+        WITH bands AS (SELECT p_brand AS name, min(p_retailprice) + 5 AS lo, max(p_retailprice) - 5 AS hi
+                       FROM part GROUP BY p_brand),
+             width AS (SELECT greatest(max(hi - lo) / 16, 1e-9) AS step FROM bands),
+             steps AS (SELECT name, lo, hi, explode(sequence(floor(lo / (SELECT step FROM width)), floor(hi / (SELECT step FROM width)))) AS place
+                       FROM bands WHERE lo < hi),
+             priced AS (SELECT p_retailprice, count(*) AS n, floor(p_retailprice / (SELECT step FROM width)) AS place
+                        FROM part GROUP BY p_retailprice)
+        SELECT name, sum(n) AS parts, round(sum(p_retailprice * n) / sum(n), 4) AS mean_price
+        FROM priced JOIN steps ON priced.place = steps.place AND p_retailprice >= lo AND p_retailprice < hi
         GROUP BY name""")
 
 

@@ -24,19 +24,17 @@ def test_values(spark):
 
 
 PREVIEW = {
-    "Id": [str(i) for i in range(1, 11)], "Name": list("ABCABCABCA"), "Address": [f"121 - Street {i}" for i in range(10)],
-    "Marks": ["1500", "500", "2000", "70", "90", "80", "60", "50", "40", "30"],
-    "Science": ["2500.46", "3000", "10", "20", "30", "40", "50", "60", "70", "80"],
-    "Share": ["0.5", "1", "0", "0.25", "0.1", "0.2", "0.3", "0.4", "0.5", "0.6"],
-    "Total": ["66.67", "100", "5", "6", "7", "8", "9", "0.5", "0.6", "0.7"], "Grade": list("ABCDEFABCD"),
-    "Attended": list("0101010101"), "Empty": [""] * 10, "Dates": ["01-02-2020", "2020-02-01"] * 5, "Day": ["01-02-2020", ""] * 5,
-    "Mixed": ["1", "x"] * 5,
+    "row": [str(9 - i) for i in range(10)], "river": ["Oder", "Rhine", "Elbe", "Oder", "Rhine"] * 2, "gauge": [f"km {i}.5 left" for i in range(10)],
+    "depth_cm": [str(37 * i + 11) for i in range(10)], "flow": [f"{i * 13}.{i}7" for i in range(9)] + ["4"],
+    "ice": ["0", "0.05", "1", "0.9", "0.33"] * 2, "salt": ["0.2", "3", "0.4", "5.5", "0"] * 2, "class": list("VWXYZVWXYZ"),
+    "alarm": ["1", "0", "0", "0", "1"] * 2, "note": [""] * 10, "seen": ["31-12-1999", "1999-12-31"] * 5, "cleaned": ["28-02-2001", ""] * 5,
+    "turbid": ["3", "no"] * 5,
 }
 EXPECTED = {
-    "Id": ("Number", "", 0), "Name": ("Category", "Category", 0), "Address": ("Category", "Category", 0), "Marks": ("Number", "", 0),
-    "Science": ("Number", "", 2), "Share": ("Percentage", "", 2), "Total": ("Number", "", 2), "Grade": ("Category", "Category", 0),
-    "Attended": ("Number", "", 0), "Empty": ("Text", "Text", 0), "Dates": ("Category", "Category", 0),
-    "Day": ("Date", "DD-MM-YYYY", 0), "Mixed": ("Category", "Category", 0),
+    "row": ("Number", "", 0), "river": ("Category", "Category", 0), "gauge": ("Category", "Category", 0), "depth_cm": ("Number", "", 0),
+    "flow": ("Number", "", 2), "ice": ("Percentage", "", 2), "salt": ("Number", "", 2), "class": ("Category", "Category", 0),
+    "alarm": ("Number", "", 0), "note": ("Text", "Text", 0), "seen": ("Category", "Category", 0),
+    "cleaned": ("Date", "DD-MM-YYYY", 0), "turbid": ("Category", "Category", 0),
 }
 
 
@@ -44,7 +42,7 @@ EXPECTED = {
 @pytest.mark.parametrize("older", [False, True])
 def test_columns(spark, sample, older):
     df = spark.createDataFrame(list(zip(*PREVIEW.values())), ", ".join(f"{c} string" for c in PREVIEW))
-    expected = dict(EXPECTED, Attended=("Percentage", "", 0)) if older else EXPECTED
+    expected = dict(EXPECTED, alarm=("Percentage", "", 0)) if older else EXPECTED
     found = infer_types(df, sample_rows=sample, legacy=older)
     assert {r["column"]: (r.datatype, r.format, r.decimal) for r in found.collect()} == expected
 

@@ -86,6 +86,25 @@ def test_splits(points):
         assert train.join(test, "id").count() == 0
 
 
+def test_test_rows_were_not_trained_on(spark):
+    """Also after a sort-merge join, whose rows lie elsewhere each time, and on any number of partitions."""
+    left = spark.range(4000).select(F.col("id"), F.sin("id").alias("x"))
+    right = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"))
+    df = left.join(right.hint("merge"), "id")
+    parts = []
+    for n in (1, 2, 8):
+        _, train, test = tr.fit(df.repartition(n), tr.TreeSettings(["x"], "y", max_depth=1, key=("id",)))
+        parts.append((sorted(r.id for r in train.select("id").collect()), sorted(r.id for r in test.select("id").collect())))
+        assert not set(parts[-1][0]) & set(parts[-1][1]) and len(parts[-1][0]) + len(parts[-1][1]) == 4000
+    assert parts[0] == parts[1] == parts[2] and 3000 < len(parts[0][0]) < 3400
+
+
+def test_rows_without_a_key_are_training_rows(spark):
+    df = spark.createDataFrame([(1,), (None,), (95,)], "k int")
+    train, test = modulo_split(df, "k", 80)
+    assert sorted(r.k or 0 for r in train.collect()) == [0, 1] and [r.k for r in test.collect()] == [95]
+
+
 def path_length(nodes, row):
     node, depth = 0, 0
     while nodes[node]["left"] >= 0:
@@ -112,13 +131,17 @@ def test_scores_match_walking_the_trees(spark):
     assert sorted(r.s for r in rows)[-40] <= next(r.s for r in rows if r.id == 5)
 
 
-def test_large_tables_draw_disjoint_samples(spark, monkeypatch):
-    monkeypatch.setattr(an, "_REUSE_ROWS", 1000)
-    df = spark.range(100_000).select(F.col("id").cast("double").alias("f0"))
-    drawn = an.sample_for_trees(df, 20, 256, 1)
-    assert drawn.groupBy("f0").count().filter("count > 1").count() == 0
+@pytest.mark.parametrize("rows", [300, 5_000, 120_000])
+def test_sample_size_does_not_depend_on_the_number_of_rows(spark, rows):
+    df = spark.range(rows).select(F.col("id").cast("double").alias("f0"))
+    drawn = an.sample_for_trees(df, 40, 256, 1)
     sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
-    assert len(sizes) == 20 and 180 < min(sizes) and max(sizes) < 340
+    assert len(sizes) == 40 and 185 < min(sizes) and max(sizes) < 330 and abs(np.mean(sizes) - 256) < 12
+    assert drawn.groupBy("f0", "tree").count().filter("count > 1").count() == 0
+
+
+def test_no_rows_have_no_scores(spark):
+    assert an.score_anomalies(spark.createDataFrame([], "a double, b string"), ["a"], keep=["b"]).collect() == []
 
 
 def test_forest_does_not_depend_on_partitioning_of_the_sample(spark):
