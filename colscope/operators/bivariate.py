@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-import pyarrow as pa
 
 from ..functions.bins import bin_category, bin_number, lower_edge
 from ..session import small_table
 from ..specs import CATEGORY, NUMBER, PERCENTAGE
 
 MAX_CATEGORY_VALUES = 20
-# Above this many pairs, pairs become rows: wide aggregations outgrow generated code.
-_MAX_WIDE_PAIRS = 6
 
 
 @dataclass(frozen=True)
@@ -63,24 +63,46 @@ def eligible_columns(summary: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(c1, c2, n, correlation, covariance) over the rows where both columns are present; one scan."""
-    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    """(c1, c2, n, correlation, covariance) over the rows where both columns are present.
 
-    def both(x: Column, y: Column) -> list[Column]:
-        return [F.count_if(x.isNotNull() & y.isNotNull()).alias("n"), F.corr(x, y).alias("correlation"),
-                F.covar_samp(x, y).alias("covariance")]
-
-    if len(pairs) <= _MAX_WIDE_PAIRS:
-        wide = numbers.agg(F.array(*[
-            F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), *both(F.col(a), F.col(b))) for a, b in pairs]).alias("p"))
-        return wide.select(F.inline("p"))
-    entries = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-                        for i, (a, b) in enumerate(pairs)])
-    names = small_table(df.sparkSession, [{"pair": i, "c1": a, "c2": b} for i, (a, b) in enumerate(pairs)],
-                        pa.schema([("pair", pa.int32()), ("c1", pa.string()), ("c2", pa.string())]))
-    grouped = numbers.select(F.inline(entries)).groupBy("pair").agg(*both(F.col("x"), F.col("y")))
-    return grouped.join(F.broadcast(names), "pair").select("c1", "c2", "n", "correlation", "covariance")
+    Each task adds up products of whole batches, as matrices over all columns with the nulls masked, and sends a row
+    per pair.  Values are taken from their column's mean first, so that sums of squares stay exact enough.  Text is
+    read as numbers where it is one.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    places = {c: i for i, c in enumerate(columns)}
+    left, right = np.array([places[a] for a, _ in pairs]), np.array([places[b] for _, b in pairs])
+    numbers = df.select(*[F.col(c).try_cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))) for c in numbers.columns]).first()
+    centre = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            present = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            values = np.where(present > 0, values - centre, 0.0)
+            n, x, xx, xy = present.T @ present, values.T @ present, (values * values).T @ present, values.T @ values
+            own = np.stack([n[left, right], x[left, right], x[right, left], xx[left, right], xx[right, left], xy[left, right]])
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(left), dtype=np.int32)), *map(pa.array, total)], ["pair", *names])
+
+    rows = numbers.mapInArrow(sums, "pair int, " + ", ".join(f"{c} double" for c in names))
+    added = rows.groupBy("pair").agg(*[F.sum(c).alias(c) for c in names])
+    listed = small_table(df.sparkSession, [{"pair": i, "c1": a, "c2": b} for i, (a, b) in enumerate(pairs)],
+                         pa.schema([("pair", pa.int32()), ("c1", pa.string()), ("c2", pa.string())]))
+
+    def about(product: str, a: str, b: str) -> Column:
+        return F.col(product) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+
+    spread = F.sqrt(about("xx", "x", "x")) * F.sqrt(about("yy", "y", "y"))
+    enough = F.col("n") > 1
+    return listed.join(added, "pair", "left").select(
+        "c1", "c2", F.coalesce("n", F.lit(0.0)).cast("long").alias("n"),
+        F.when(enough, F.try_divide(about("xy", "x", "y"), spread)).alias("correlation"),
+        F.when(enough, F.try_divide(about("xy", "x", "y"), F.col("n") - 1)).alias("covariance"))
 
 
 def correlation_matrix(long: DataFrame, columns: list[str]) -> DataFrame:
@@ -98,30 +120,40 @@ def mosaic(df: DataFrame, pairs: list[tuple[BinnedColumn, BinnedColumn]]) -> Dat
 
     Every combination of the listed bins appears, with 0 where no row falls; values outside the lists and
     rows where either column is null do not count.  ``x_share`` is the bin's part of the pair's total and
-    ``y_share`` the cell's part of its bin.  Per row only small integers are made, and they collapse to at
-    most (bins x bins) groups per pair and task before the shuffle.
+    ``y_share`` the cell's part of its bin.  Each task adds up its cells in arrays and sends those that occur; the grid
+    of cells is joined from the columns' labels.
     """
     pairs = [(a, b) for a, b in pairs if a.name != b.name]
     columns = {c.name: c for pair in pairs for c in pair}
     ids = {name: i for i, name in enumerate(columns)}
     binned = df.select(*[columns[c].index().alias(f"b{i}") for c, i in ids.items()])
-    width = {c: len(columns[c].labels) for c in ids}
-
-    def cell(a: str, b: str) -> Column:
-        x, y = F.col(f"b{ids[a]}"), F.col(f"b{ids[b]}")
-        return F.when((x >= 0) & (y >= 0), x * width[b] + y)
-
-    entries = F.array(*[F.struct(F.lit(i).alias("pair"), cell(a.name, b.name).alias("cell")) for i, (a, b) in enumerate(pairs)])
-    counts = (binned.select(F.inline(entries)).filter(F.col("cell").isNotNull())
-              .groupBy("pair", "cell").agg(F.count(F.lit(1)).alias("n")))
-    rows = [
-        {"pair": p, "cell": i * len(b.labels) + j, "c1": a.name, "c2": b.name, "x": x, "y": y}
-        for p, (a, b) in enumerate(pairs)
-        for i, x in enumerate(a.ordered_labels) for j, y in enumerate(b.ordered_labels)
-    ]
-    cells = small_table(df.sparkSession, rows, pa.schema([
-        ("pair", pa.int32()), ("cell", pa.int32()), ("c1", pa.string()), ("c2", pa.string()),
-        ("x", pa.string()), ("y", pa.string())]))
+    width = [len(columns[c].labels) for c in ids]
+    sides = [(ids[a.name], ids[b.name]) for a, b in pairs]
+
+    def tally(batches):
+        counts = [0] * len(sides)
+        for batch in batches:
+            bins = [c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            for p, (a, b) in enumerate(sides):
+                inside = (bins[a] >= 0) & (bins[b] >= 0)
+                counts[p] = counts[p] + np.bincount((bins[a] * width[b] + bins[b])[inside], minlength=width[a] * width[b])
+        for p, own in enumerate(counts):
+            cells = np.flatnonzero(own)
+            if len(cells):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cells), p, np.int32)), pa.array(cells.astype(np.int32)), pa.array(own[cells].astype(np.int64))],
+                    ["pair", "cell", "n"])
+
+    counts = binned.mapInArrow(tally, "pair int, cell int, n long").groupBy("pair", "cell").agg(F.sum("n").alias("n"))
+    spark = df.sparkSession
+    labels = small_table(spark, [{"id": ids[c], "place": i, "label": x} for c in ids for i, x in enumerate(columns[c].ordered_labels)],
+                         pa.schema([("id", pa.int32()), ("place", pa.int32()), ("label", pa.string())]))
+    listed = small_table(spark, [{"pair": p, "a": ids[a.name], "b": ids[b.name], "c1": a.name, "c2": b.name, "width": len(b.labels)}
+                                 for p, (a, b) in enumerate(pairs)],
+                         pa.schema([(c, pa.string() if c in ("c1", "c2") else pa.int32()) for c in ("pair", "a", "b", "c1", "c2", "width")]))
+    first = labels.select(F.col("id").alias("a"), F.col("place").alias("i"), F.col("label").alias("x"))
+    second = labels.select(F.col("id").alias("b"), F.col("place").alias("j"), F.col("label").alias("y"))
+    cells = listed.join(first, "a").join(second, "b").withColumn("cell", F.col("i") * F.col("width") + F.col("j"))
     filled = cells.join(counts, ["pair", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # One window partition holds one pair's cells, which the bin lists bound.
     per_pair = F.sum("n").over(Window.partitionBy("pair"))

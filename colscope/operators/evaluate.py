@@ -22,6 +22,12 @@ def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def error_of_counts(counts: DataFrame) -> DataFrame:
+    """The share of wrong predictions among counted ones."""
+    wrong = F.sum(F.when(F.col("label") != F.col("prediction"), F.col("n")).otherwise(0))
+    return counts.agg(F.coalesce(F.try_divide(wrong, F.sum("n")), F.lit(0.0)).alias("error"))
+
+
 def confusion_matrix(counts: DataFrame) -> DataFrame:
     """Confusion counts for every pair of actual labels, zeros included; labels are classes, so few."""
     classes = counts.select("label").distinct()

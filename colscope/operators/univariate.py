@@ -7,6 +7,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bins import bucket
 from ..session import on_driver, small_table
@@ -33,7 +34,7 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _moments(spec: ColumnSpec, extra: list[Column]) -> Column:
-    raw, x = F.col(spec.name), F.col(spec.name).cast("double")
+    raw, x = F.col(spec.name), F.col(spec.name).try_cast("double")
     null = F.lit(None).cast("double")
     numbers = [F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)] if spec.numeric else [null] * 4
     return F.struct(
@@ -53,7 +54,7 @@ def summarize(df: DataFrame, specs: list[ColumnSpec], exact: bool = True) -> Dat
     if not exact:
         def sketches(spec: ColumnSpec) -> list[Column]:
             x = F.col(spec.name)
-            median = (F.percentile_approx(x.cast("double"), _MEDIAN) if spec.numeric
+            median = (F.percentile_approx(x.try_cast("double"), _MEDIAN) if spec.numeric
                       else F.lit(None).cast("double"))
             distinct = F.approx_count_distinct(x) + F.max(x.isNull().cast("int"))
             return [distinct.cast("long").alias("distinct"), median.alias("median")]
@@ -67,13 +68,14 @@ def summarize(df: DataFrame, specs: list[ColumnSpec], exact: bool = True) -> Dat
     names = [s.name for s in specs]
     numeric = [s.name for s in specs if s.numeric]
     brackets = on_driver(_stats_rows(df, [
-        F.struct(F.lit(c).alias("column"), *bracket_columns(F.col(c).cast("double"), [_MEDIAN])) for c in numeric
+        F.struct(F.lit(c).alias("column"), *bracket_columns(F.col(c).try_cast("double"), [_MEDIAN])) for c in numeric
     ])) if numeric else None
     parts = []
     for family, group in _numeric_and_other(names, numeric).items():
-        for counts in typed_value_counts(df, group).values():
+        for family_type, counts in typed_value_counts(df, group).items():
             if family == "numeric":
-                numbers = counts.filter(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+                numbers = counts.withColumn("value", F.col("value").try_cast("double")).filter(F.col("value").isNotNull())
+                numbers = numbers.groupBy("column", "value").agg(F.sum("n").alias("n")) if family_type == "string" else numbers
                 parts.append(pick_quantiles(numbers, brackets, ["column"], "value", [_MEDIAN], "n").select(
                     "column", F.col("values").alias("distinct"), F.col("quantile").alias("median")))
             else:
@@ -104,6 +106,13 @@ def suggested_max_bins(summary: DataFrame, columns: list[str], default: int = 32
         F.coalesce(F.max(discrete), F.lit(default)).cast("long").alias("max_bins"))
 
 
+def _bar_number(df: DataFrame, column: str) -> Column:
+    """A column's value for buckets: in text, ``NA`` counts as 0 and what is no number is left out."""
+    x = F.col(column)
+    number = x.try_cast("double")
+    return F.when(x == "NA", 0.0).otherwise(number) if isinstance(df.schema[column].dataType, T.StringType) else number
+
+
 def inner_steps(bins: int, ends: tuple[float, float]) -> int:
     """Equal steps left between the end quantiles once each open tail has taken a bin."""
     tails = sum([ends[0] != 0, ends[1] != 1])
@@ -114,7 +123,7 @@ def bucket_edges(df: DataFrame, columns: list[str], bins: int = DEFAULT_BINS,
                  ends: tuple[float, float] = DEFAULT_ENDS, exact: bool = False) -> DataFrame:
     """(column, edges): min, equal steps between the end quantiles, max; one bucket if the steps vanish."""
     probs = [float(e) for e in ends]
-    doubles = {c: F.col(c).cast("double") for c in columns}
+    doubles = {c: _bar_number(df, c) for c in columns}
     if exact:
         stats = on_driver(_stats_rows(df, [
             F.struct(F.lit(c).alias("column"), *bracket_columns(x, probs)) for c, x in doubles.items()]))
@@ -152,7 +161,7 @@ def bucket_counts(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     are counted in one scan, and only bucket numbers reach the shuffle.
     """
     names = list(edges)
-    binned = df.select(*[bucket(F.col(c).cast("double"), edges[c]).alias(c) for c in names])
+    binned = df.select(*[bucket(_bar_number(df, c), edges[c]).alias(c) for c in names])
     counts = (binned.unpivot([], names, "column", "bin").filter(F.col("bin").isNotNull())
               .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n")))
     rows = [{"column": c, "bin": i, "lower": lo, "upper": hi}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators import evaluate as ev
 from ..operators import explain as ex
 from ..operators import trees as tr
+from ..session import on_driver
 
 
 def model_report(df: DataFrame, settings: tr.TreeSettings) -> tuple[tr.TreeModel, dict[str, DataFrame]]:
@@ -18,9 +19,10 @@ def model_report(df: DataFrame, settings: tr.TreeSettings) -> tuple[tr.TreeModel
     for name, rows in parts.items():
         scored = model.model.transform(rows)
         if model.kind == tr.CLASSIFICATION:
-            counts = ev.confusion_counts(scored, settings.label, "predictedLabel")
+            # A part is scored once: everything else follows from a few counts.
+            counts = on_driver(ev.confusion_counts(scored, settings.label, "predictedLabel"))
             labels = ev.label_metrics(counts)
-            report[f"{name}_error"] = ev.classification_error(scored, "__label", "prediction")
+            report[f"{name}_error"] = ev.error_of_counts(counts)
             report[f"{name}_labels"], report[f"{name}_overall"] = labels, ev.overall_metrics(labels)
             report[f"{name}_confusion"] = ev.confusion_matrix(counts)
         else:

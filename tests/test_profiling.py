@@ -109,15 +109,12 @@ def test_quantiles_of_few_rows(spark, n):
     assert {r.prob: r.quantile for r in found} == pytest.approx({p: float(np.quantile(values, p)) for p in (0.05, 0.5, 0.75)})
 
 
-def test_both_correlation_forms_agree(spark, monkeypatch):
+def test_correlations_equal_the_built_in_aggregates(spark):
     df = spark.range(500).select(F.col("id").cast("double").alias("a"), F.sin("id").alias("b"), F.when(F.col("id") % 3 > 0, F.cos("id")).alias("c"))
-    pairs = bi.all_pairs(["a", "b", "c"])
-    wide = {(r.c1, r.c2): (r.n, r.correlation, r.covariance) for r in bi.correlations(df, pairs).collect()}
-    monkeypatch.setattr(bi, "_MAX_WIDE_PAIRS", 0)
-    long = {(r.c1, r.c2): (r.n, r.correlation, r.covariance) for r in bi.correlations(df, pairs).collect()}
-    assert wide.keys() == long.keys() and wide[("a", "c")][0] == 333
-    for pair in wide:
-        assert wide[pair] == pytest.approx(long[pair], abs=1e-9)
+    for r in bi.correlations(df, bi.all_pairs(["a", "b", "c"])).collect():
+        x, y = F.col(r.c1), F.col(r.c2)
+        n, corr, cov = df.agg(F.count_if(x.isNotNull() & y.isNotNull()), F.corr(x, y), F.covar_samp(x, y)).first()
+        assert r.n == n and r.correlation == pytest.approx(corr) and r.covariance == pytest.approx(cov)
 
 
 def test_mosaic_against_counting(spark):
@@ -146,3 +143,55 @@ def test_partial_top_k_comes_before_the_shuffle(spark):
     from colscope.operators.catalog import latest_per_key
     plan = latest_per_key(df, ["c_nationkey"], [F.desc("c_acctbal")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_text_declared_as_numbers(spark):
+    """``NA`` is 0 in bars, left out of metrics, and nothing raises."""
+    from colscope.operators.bivariate import correlations
+    from colscope.operators.univariate import bucket_counts, bucket_edges, summarize
+    from colscope.specs import NUMBER, ColumnSpec
+
+    df = spark.createDataFrame([(str(i), float(i)) for i in range(1, 41)] + [("NA", 1.0), ("\t7 ", 7.0), (None, 2.0), ("x", 3.0)],
+                               "a string, b double")
+    for exact in (True, False):
+        row = summarize(df, [ColumnSpec("a", NUMBER)], exact).first()
+        assert (row["rows"], row["missing"], row["min"], row["max"]) == (44, 1, 1.0, 40.0)
+    assert bucket_edges(df, ["a"]).first()["edges"][0] == 0.0
+    assert sum(r.n for r in bucket_counts(df, {"a": [0.0, 20.0, 40.0]}).collect()) == 42
+    found = correlations(df, [("a", "b"), ("b", "b")]).orderBy("c1").collect()
+    assert found[0].n == 41 and found[0].correlation == pytest.approx(1.0) and found[1].n == 44
+
+
+def test_pairs_of_many_columns_and_of_none(spark):
+    import numpy as np
+
+    from colscope.operators.bivariate import correlations
+
+    values = np.random.default_rng(1).normal(1e6, 3, (500, 12)).round(3)
+    values[:, 1] = 5.0
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"{c} double" for c in names)).repartition(5)
+    pairs = [(a, b) for a in names for b in names]
+    found = {(r.c1, r.c2): r for r in correlations(df, pairs).collect()}
+    with np.errstate(all="ignore"):
+        expected = np.corrcoef(values.T)
+    for (a, b), r in found.items():
+        i, j = names.index(a), names.index(b)
+        if 1 in (i, j):
+            assert r.correlation is None
+        else:
+            assert r.correlation == pytest.approx(expected[i, j], abs=1e-9)
+    assert [r.n for r in correlations(df.limit(0), [("c0", "c1")]).collect()] == [0]
+
+
+def test_new_columns_are_typed_before_they_are_profiled(spark):
+    from colscope.plans.profile import profile, reprofile
+    from colscope.specs import AUTO_DETECT, NUMBER, ColumnSpec
+
+    df = spark.range(60).select(F.col("id").cast("double").alias("x"))
+    before = profile(df, [ColumnSpec("x", NUMBER)], edges={"x": [0.0, 10.0, 60.0]})
+    assert [r.n for r in before.histograms.orderBy("bin").collect()] == [10, 50]
+    after = reprofile(before, [ColumnSpec("x", NUMBER), ColumnSpec("y", AUTO_DETECT, status="new", formula="x * 2")])
+    assert {s.name: s.datatype for s in after.specs} == {"x": NUMBER, "y": NUMBER}
+    assert after.summary.filter("column = 'y'").first()["mean"] == 59.0
+    assert after.correlations.filter("c1 = 'x' and c2 = 'y'").count() == 1
