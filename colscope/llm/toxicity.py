@@ -40,10 +40,12 @@ class Field:
 
     per_class: int = 1000
     bits: int = 18
-    iterations: int = 25
+    iterations: int = 40
     rate: float = 0.5
     decay: float = 1e-6
     least_share: float = 0.004
+    keep: float = 0.75
+    seed: int = 7
     held_out: tuple[int, int] = (5, 0)
 
 
@@ -134,7 +136,7 @@ class Model:
 
     def __init__(self, rule: Field):
         self.rule = rule
-        self.weights = np.zeros(1 << rule.bits)
+        self.weights = np.zeros((1 << rule.bits) + 1)  # the last stays 0
         self.moves = np.zeros(4)  # log potentials of the pairs of states 00, 01, 10, 11
         self.logistic = np.array([-6.0, 0.0, 0.0])
         self.words: _Words | None = None
@@ -239,6 +241,10 @@ def train(texts: list[list[str]], toxic: list[bool], rule: Field) -> Model:
                 marked[w] = not chosen.isdisjoint(stems(w.strip(EDGES)))
     number = {w: i for i, w in enumerate(known)}
     own = np.array([f for f, _, _ in known.values()])
+    # A word met once learns nothing about itself, only about what it shares, as a word not met will need.
+    size = 1 << rule.bits
+    often = Counter(w for words in texts for w in words)
+    own[np.ix_([often[w] == 1 for w in known], [0])] = size
     before = np.array([b for _, b, _ in known.values()])
     after = np.array([a for _, _, a in known.values()])
     chains = [np.array([number[w] for w in words], np.int64) for words in texts]
@@ -251,23 +257,26 @@ def train(texts: list[list[str]], toxic: list[bool], rule: Field) -> Model:
     inner = np.flatnonzero(~first)
     pairs = 2 * truth[inner - 1].astype(int) + truth[inner].astype(int)
     seen = np.bincount(pairs, minlength=4).astype(float)
-    size = 1 << rule.bits
-    squares, move_squares = np.full(size, 1e-4), np.full(4, 1e-4)
+    squares, move_squares = np.full(size + 1, 1e-4), np.full(4, 1e-4)
     model.weights[zlib.crc32(b"bias") & (size - 1)] = -3.0
+    random = np.random.default_rng(rule.seed)
     for _ in range(rule.iterations):
         w = model.weights
-        scores = w[own].sum(1)[flat]
+        # Some kinds of features sit out each time, so that none relies on the others being known.
+        used = np.append(random.random(own.shape[1] - 1) < rule.keep, True)
+        scores = (w[own] * used).sum(1)[flat]
         scores[inner] += w[before][flat[inner - 1]]
         scores[inner - 1] += w[after][flat[inner]]
         found, counts = marginals(np.split(scores, ends[:-1]), model.moves, pairs=True)
         wrong = np.concatenate(found) - truth
         by_word = np.bincount(flat, wrong, len(known))
-        gradient = np.bincount(own.ravel(), np.repeat(by_word, own.shape[1]), size)
-        gradient += np.bincount(before, np.bincount(flat[inner - 1], wrong[inner], len(known)), size)
-        gradient += np.bincount(after, np.bincount(flat[inner], wrong[inner - 1], len(known)), size)
+        gradient = np.bincount(own.ravel(), (by_word[:, None] * used).ravel(), size + 1)
+        gradient += np.bincount(before, np.bincount(flat[inner - 1], wrong[inner], len(known)), size + 1)
+        gradient += np.bincount(after, np.bincount(flat[inner], wrong[inner - 1], len(known)), size + 1)
         gradient = gradient / len(texts) + rule.decay * w
         squares += gradient * gradient
         model.weights = w - rule.rate * gradient / np.sqrt(squares)
+        model.weights[size] = 0
         move = (counts - seen) / len(texts)
         move_squares += move * move
         model.moves = model.moves - 0.2 * move / np.sqrt(move_squares)
@@ -301,7 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Field, id: str, text: str, lab
         model = train([tokens(t) for _, _, t in rows], [y == 1 for _, y, _ in rows], rule) if rows else Model(rule)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(on_workers(sample.repartition(1)).mapInArrow(run, "model binary").first()["model"])
+    row = on_workers(sample.repartition(1)).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else Model(rule)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rule: Field | None = None, id: str = "doc_id", text: str = "text",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from colscope.llm import recurrent
-from colscope.llm.recurrent import END_WORD, Gru, Recurrent, Vocabulary, log_likelihood, tokens_of, word_counts
+from colscope.llm.recurrent import Gru, Recurrent, Vocabulary, log_likelihood, tokens_of, word_counts
 
 RULE = Recurrent(hidden=6, classes=4, per_class=4, head_words=9, train_share=1, window=5, lanes=3, tokens_per_replica=200)
 
@@ -72,11 +72,11 @@ def brute(rows, rule):
     counts = Counter()
     for i, t in rows:
         if not out[i]:
-            counts.update([*tokens_of(t), END_WORD])
+            counts.update([*tokens_of(t), b""])
     n, v = sum(counts.values()), len(counts)
     result = []
     for i, t in rows:
-        own = [*tokens_of(t), END_WORD]
+        own = [*tokens_of(t), b""]
         result.append((i, out[i], len(own), sum(counts[w] > 0 for w in own), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)))
     return result
 
