@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import on_driver
+from ..session import on_driver, shared_folder
 
 _ACCURACY = 2_000
 _MARGIN = 2.5 / _ACCURACY
 _SMALL = 100_000
 _SLICES = 1024
+_FEW_KEYS = 100_000
 
 
 def bracket_columns(x: Column, probs: list[float]) -> list[Column]:
@@ -41,19 +42,20 @@ def _brackets(stats: DataFrame, keys: list[str], probs: list[float]) -> DataFram
 
 
 def pick_quantiles(counted: DataFrame, stats: DataFrame, keys: list[str], value: str, probs: list[float],
-                   weight: str | None = None) -> DataFrame:
+                   weight: str | None = None, few_keys: bool = True) -> DataFrame:
     """(keys, prob, quantile, values) with linear interpolation between neighbouring ranks.
 
     ``counted`` holds the non-null values; with ``weight`` they are distinct per key and already counted, and
-    ``values`` is how many there are.  ``stats`` is a driver-side table with one row per key and the columns
-    of :func:`bracket_columns`: keys must be few (columns of a table, nodes of a tree), as it is broadcast.
+    ``values`` is how many there are.  ``stats`` has one row per key and the columns of :func:`bracket_columns`.
+    It is broadcast if ``few_keys`` (columns of a table, nodes of a tree) and joined on the keys otherwise.
     """
+    small = F.broadcast if few_keys else lambda df: df
     brackets = _brackets(stats, keys, probs)
     id_ = [*keys, "prob"]
     share = F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo"))
     slice_ = (F.when(F.col(value) < F.col("lo"), F.lit(-1)).when(F.col(value) > F.col("hi"), F.lit(_SLICES))
               .otherwise(F.coalesce(F.least(F.lit(_SLICES - 1), F.floor(share * _SLICES)).cast("int"), F.lit(0))))
-    placed = counted.join(F.broadcast(brackets), keys).withColumn("slice", slice_)
+    placed = counted.join(small(brackets), keys).withColumn("slice", slice_)
     if weight:
         hits = placed.select(*id_, "total", "slice", F.col(value).alias("v"), F.col(weight).alias("n"))
     else:
@@ -73,7 +75,7 @@ def pick_quantiles(counted: DataFrame, stats: DataFrame, keys: list[str], value:
     )
     running = Window.partitionBy(*id_, "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = (
-        hits.select(*id_, "slice", "v", "n").join(F.broadcast(ranked), [*id_, "slice"])
+        hits.select(*id_, "slice", "v", "n").join(small(ranked), [*id_, "slice"])
         .withColumn("upto", F.col("before") + F.sum("n").over(running))
         .withColumn("from", F.col("upto") - F.col("n"))
     )
@@ -88,10 +90,17 @@ def pick_quantiles(counted: DataFrame, stats: DataFrame, keys: list[str], value:
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact quantiles of ``value`` per key, in two scans of ``rows``."""
+    """Exact quantiles of ``value`` per key, in two scans of ``rows``.
+
+    Brackets of the keys are written to the shared folder and counted: up to ``_FEW_KEYS`` are broadcast.
+    """
     rows = rows.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
-    stats = on_driver(rows.groupBy(*keys).agg(*bracket_columns(F.col(value), probs)))
-    return pick_quantiles(rows, stats, keys, value, probs).drop("values")
+    path = shared_folder(rows.sparkSession, "brackets")
+    stats = rows.groupBy(*keys).agg(*bracket_columns(F.col(value), probs))
+    stats.write.parquet(path)
+    stats = rows.sparkSession.read.schema(stats.schema).parquet(path)
+    few = stats.count() <= _FEW_KEYS
+    return pick_quantiles(rows, on_driver(stats) if few else stats, keys, value, probs, None, few).drop("values")
 
 
 def approximate_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:

@@ -18,8 +18,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def export_csv(df: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
-    """CSV for download.  ``files=1`` asks for one part file, which only suits results of modest size."""
-    write_csv(df.coalesce(files) if files else df, path, mode)
+    """CSV for download.  ``files=1`` asks for one part file, which only suits results of modest size;
+    the work before the write keeps its own tasks.
+    """
+    write_csv(df.repartition(files) if files else df, path, mode)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

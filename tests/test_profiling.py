@@ -195,3 +195,20 @@ def test_new_columns_are_typed_before_they_are_profiled(spark):
     assert {s.name: s.datatype for s in after.specs} == {"x": NUMBER, "y": NUMBER}
     assert after.summary.filter("column = 'y'").first()["mean"] == 59.0
     assert after.correlations.filter("c1 = 'x' and c2 = 'y'").count() == 1
+
+
+def test_quantiles_of_many_keys(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 300).alias("k"), F.sin("id").alias("x"))
+    few = sorted(map(tuple, qu.exact_quantiles(df, ["k"], "x", [0.5, 0.9]).collect()))
+    monkeypatch.setattr(qu, "_FEW_KEYS", 10)
+    assert sorted(map(tuple, qu.exact_quantiles(df, ["k"], "x", [0.5, 0.9]).collect())) == few and len(few) == 600
+
+
+def test_pages_refuse_null_keys(spark):
+    from colscope.operators.catalog import deep_page, page
+
+    df = spark.range(25).select(F.col("id").alias("k"))
+    for n in range(1, 7):
+        assert deep_page(df, "k", n, 5).collect() == page(df, ["k"], n, 5).collect()
+    with pytest.raises(ValueError, match="null"):
+        deep_page(df.select(F.nullif(F.col("k"), F.lit(3)).alias("k")), "k", 1, 5)

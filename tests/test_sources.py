@@ -108,3 +108,21 @@ def test_pair_upsert_ignores_order(spark):
     old = spark.createDataFrame([("a", "b", 1), ("a", "c", 2)], "c1 string, c2 string, v int")
     new = spark.createDataFrame([("b", "a", 9)], "c1 string, c2 string, v int")
     assert sorted(map(tuple, cat.upsert_pairs(old, new).collect())) == [("a", "c", 2), ("b", "a", 9)]
+
+
+def test_catalog_listings(spark):
+    from colscope.sources.schema import list_databases, list_tables
+
+    spark.range(1).createOrReplaceTempView("listed_view")
+    assert "default" in [r.database for r in list_databases(spark).collect()]
+    assert "listed_view" in [r.table_name for r in list_tables(spark).collect()]
+
+
+def test_wide_whole_numbers_and_padding(spark):
+    from colscope.operators.clean import cast_columns
+    from colscope.specs import NUMBER, ColumnSpec
+
+    df = spark.createDataFrame([("\t7 ", "99999999999999999999", "1" * 40), ("8\n", "-1", "2")], "a string, b string, c string")
+    out = cast_columns(df, [ColumnSpec(c, NUMBER) for c in "abc"])
+    assert [t for _, t in out.dtypes] == ["int", "decimal(38,0)", "double"]
+    assert [r.a for r in out.collect()] == [7, 8] and int(out.first().b) == 99999999999999999999
