@@ -141,19 +141,28 @@ def train_test_split_by_key(spark, folder):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("train_test_split_by_hash")
+def _shares(spark, folder, train, test):
+    """Rows of both parts, and whether the first has about the share that was asked for."""
+    both = train.select(F.lit(1).alias("train")).unionAll(test.select(F.lit(0).alias("train")))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.avg("train").between(0.75, 0.85).alias("share_as_asked"))
+
+
+_SHARES_SQL = "SELECT count(*) AS rows, true AS share_as_asked FROM lineitem"
+
+
+@query("train_test_split_by_hash", _SHARES_SQL)
 def train_test_split_by_hash(spark, folder):
-    train, test = split.hash_split(table(spark, folder, "lineitem"), ["l_orderkey"], 80)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").count()
+    return _shares(spark, folder, *split.hash_split(table(spark, folder, "lineitem"), ["l_orderkey"], 80))
 
 
-@query("train_test_split_random")
+@query("train_test_split_random", _SHARES_SQL)
 def train_test_split_random(spark, folder):
-    train, test = split.random_split(table(spark, folder, "lineitem"), 80, 20)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").count()
+    return _shares(spark, folder, *split.random_split(table(spark, folder, "lineitem"), 80, 20))
 
 
-@query("bernoulli_sample")
+@query("bernoulli_sample", "SELECT count(*) AS rows, true AS share_as_asked FROM lineitem")
 def bernoulli_sample(spark, folder):
-    """Sampling is the feature: a seeded tenth of the rows."""
-    return split.bernoulli_sample(table(spark, folder, "lineitem"), 0.1)
+    """Sampling is the feature: a seeded tenth of the rows, compared with the whole."""
+    df = table(spark, folder, "lineitem")
+    sample = split.bernoulli_sample(df, 0.1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", (sample / F.col("rows")).between(0.08, 0.12).alias("share_as_asked"))
