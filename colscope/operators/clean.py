@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import quoted
 from ..specs import CATEGORY, DATE, MISSING, TEXT, ColumnSpec
 from .infer import trimmed
 
@@ -52,7 +53,7 @@ def number_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
     if text:
         flags = []
         for c in text:
-            x = clean_number(F.col(c))
+            x = clean_number(F.col(quoted(c)))
             too_wide = [F.max(x.isNotNull() & x.try_cast(t).isNull()) for t in WHOLE_TYPES]
             flags += [F.max(F.contains(x, F.lit("."))), *too_wide]
         row = df.agg(*[f.alias(f"f{i}") for i, f in enumerate(flags)]).first()
@@ -69,10 +70,11 @@ def cast_columns(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
 
     def cleaned(s: ColumnSpec) -> Column:
         if s.numeric:
-            x = F.col(s.name)
+            x = F.col(quoted(s.name))
             already = isinstance(df.schema[s.name].dataType, T.NumericType)
             return (x.cast(types[s.name]) if already else clean_number(x).try_cast(types[s.name])).alias(s.name)
-        return clean_text(F.col(s.name)).alias(s.name) if s.datatype in (TEXT, CATEGORY, DATE) else F.col(s.name)
+        x = F.col(quoted(s.name))
+        return clean_text(x).alias(s.name) if s.datatype in (TEXT, CATEGORY, DATE) else x
 
     return df.select(*[cleaned(s) for s in specs])
 

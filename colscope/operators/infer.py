@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import on_driver
+from ..session import on_driver, plain_names, renamed_values
 from ..specs import AUTO_DETECT, CATEGORY, DATE, NUMBER, PERCENTAGE, TEXT, ColumnSpec
 from .distinct import small_distinct_counts
 
@@ -152,6 +152,12 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: in
     for an input that comes in few large pieces.
     """
     columns = columns or df.columns
+    plain = plain_names(df, list(dict.fromkeys([*columns, *(order_by or [])])))
+    if plain:
+        by_old = {old: new for new, old in plain[1].items()}
+        found = infer_types(plain[0], [by_old[c] for c in columns], sample_rows, [by_old[c] for c in order_by or []] or None,
+                            legacy, partitions)
+        return renamed_values(found, "column", plain[1])
     if sample_rows is not None:
         df = on_driver(df.orderBy(*(order_by or df.columns)).limit(sample_rows))
     elif partitions:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bins import bucket
-from ..session import on_driver, small_table
+from ..session import on_driver, plain_names, renamed_values, small_table
 from ..specs import CATEGORY, OTHERS, TEXT, ColumnSpec
 from .distinct import LONG_TEXT, is_digest, small_distinct_counts, text_key, typed_value_counts, value_counts
 from .quantiles import bracket_columns, pick_quantiles
@@ -51,6 +52,10 @@ def summarize(df: DataFrame, specs: list[ColumnSpec], exact: bool = True) -> Dat
     ``exact=False`` takes one scan without any shuffle of values: distinct from a HyperLogLog sketch and
     median from a quantile sketch.  ``exact=True`` adds one scan that counts values.
     """
+    plain = plain_names(df, [s.name for s in specs])
+    if plain:
+        by_old = {old: new for new, old in plain[1].items()}
+        return renamed_values(summarize(plain[0], [replace(s, name=by_old[s.name]) for s in specs], exact), "column", plain[1])
     if not exact:
         def sketches(spec: ColumnSpec) -> list[Column]:
             x = F.col(spec.name)

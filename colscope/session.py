@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -47,6 +48,25 @@ def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> Dat
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
+def quoted(name: str) -> str:
+    """A column name for ``F.col`` that is taken literally, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain_names(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]] | None:
+    """``df`` with only these columns under plain names, and old names by new; None if none of them has a dot."""
+    if not any("." in c or "`" in c for c in columns):
+        return None
+    names = {c: f"__column_{i}" for i, c in enumerate(columns)}
+    return df.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]), {n: c for c, n in names.items()}
+
+
+def renamed_values(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """``df`` with the values of ``column`` replaced by what ``names`` has for them."""
+    lookup = F.create_map(*[F.lit(x) for item in names.items() for x in item])
+    return df.withColumn(column, lookup[F.col(column)])
+
+
 def on_driver(df: DataFrame) -> DataFrame:
     """A table of metadata size (a row per column, node or bin), computed now and kept as a local relation."""
     return df.sparkSession.createDataFrame(df.toArrow())

@@ -212,3 +212,16 @@ def test_pages_refuse_null_keys(spark):
         assert deep_page(df, "k", n, 5).collect() == page(df, ["k"], n, 5).collect()
     with pytest.raises(ValueError, match="null"):
         deep_page(df.select(F.nullif(F.col("k"), F.lit(3)).alias("k")), "k", 1, 5)
+
+
+def test_names_with_dots(spark):
+    from colscope.operators.clean import cast_columns
+    from colscope.operators.infer import infer_types
+
+    df = spark.createDataFrame([(1, "5", "u"), (2, "7", "v")], "`a.b` int, `c``d` string, e string")
+    specs = [ColumnSpec("a.b", NUMBER), ColumnSpec("c`d", NUMBER), ColumnSpec("e", TEXT)]
+    for exact in (True, False):
+        found = {r["column"]: (r["distinct"], r["max"]) for r in uni.summarize(df, specs, exact).collect()}
+        assert found == {"a.b": (2, 2.0), "c`d": (2, 7.0), "e": (2, None)}
+    assert {r["column"]: r["datatype"] for r in infer_types(df).collect()} == {"a.b": "Number", "c`d": "Number", "e": "Category"}
+    assert cast_columns(df, specs).dtypes == [("a.b", "int"), ("c`d", "int"), ("e", "string")]
