@@ -58,10 +58,10 @@ m AS (
     coalesce(c9, 0)::BIGINT AS dup_9gram_chars, coalesce(c10, 0)::BIGINT AS dup_10gram_chars
   FROM base LEFT JOIN lines USING (r) LEFT JOIN wide USING (r))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * dup_line_chars <= 30 * word_chars
-    AND 100 * dup_5gram_chars <= 30 * word_chars AND 100 * dup_6gram_chars <= 29 * word_chars
-    AND 100 * dup_7gram_chars <= 28 * word_chars AND 100 * dup_9gram_chars <= 26 * word_chars
-    AND 100 * dup_10gram_chars <= 25 * word_chars AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * dup_line_chars <= 40 * word_chars
+    AND 100 * dup_5gram_chars <= 45 * word_chars AND 100 * dup_6gram_chars <= 44 * word_chars
+    AND 100 * dup_7gram_chars <= 43 * word_chars AND 100 * dup_9gram_chars <= 41 * word_chars
+    AND 100 * dup_10gram_chars <= 40 * word_chars AS kept
 FROM m""")
 def op1_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
