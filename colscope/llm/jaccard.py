@@ -46,22 +46,29 @@ class Jaccard:
         """Largest symmetric difference of linked sets whose sizes sum to ``total``."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def files(self, n: int) -> list[tuple[int, int, int]]:
-        """(class of sizes, fragments, spare ones) that a set of ``n`` is filed in; linked sets always meet in one.
-
-        With D differences and D + 1 + m fragments, m + 1 agree; so a set with m empty ones or fewer need not be filed
-        under those, which sets agree in that have nothing in common.
-        """
+    def classes(self, n: int) -> list[tuple[int, int]]:
+        """(class of sizes, its largest size) for all classes in which a set of ``n`` has linked ones."""
         out, low, k = [], 1, 0
         while low * self.num <= n * self.den:
             high = max(low, low * 3 // 2)
             if n <= high:
-                most = self.most_different(2 * high)
-                if most:  # else only equal sets are linked
-                    out.append((k, most + 1 + most // 20, most // 20))
+                out.append((k, high))
             low, k = high + 1, k + 1
         return out
 
+    def files(self, n: int) -> list[tuple[int, int, int]]:
+        """(class of sizes, fragments, spare ones) that a set of ``n`` is filed in; linked sets always meet in one."""
+        each = [(k, self.most_different(2 * high)) for k, high in self.classes(n)]
+        return [(k, most + 1 + most // 20, most // 20) for k, most in each if most]  # else only equal sets are linked
+
+    def reach(self, n: int, high: int) -> int:
+        """Largest difference of a set of ``n`` from linked ones of at most ``high``.
+
+        Linked sets differ in no more fragments than this.  So a set with more full ones agrees in a full one with each
+        of them, and need not be filed under empty ones, which sets agree in that have nothing in common.
+        """
+        return self.most_different(n + min(high, n * self.den // self.num))
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -110,12 +117,13 @@ def fragment_marks(grams: np.ndarray, rule: Jaccard) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(grams ^ _ODD[5]))])
-        for k, parts, spare in rule.files(len(grams)):
+        highs = dict(rule.classes(len(grams)))
+        for k, parts, _ in rule.files(len(grams)):
             at = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
             place = np.arange(parts, dtype=np.uint64) * _ODD[6] + np.uint64(k) * _ODD[7]
             marks, full = _mixed(sums[cuts[1:]] - sums[cuts[:-1]] + place), cuts[1:] > cuts[:-1]
-            out.append(marks[full] if parts - full.sum() <= spare else marks)
+            out.append(marks[full] if full.sum() > rule.reach(len(grams), highs[k]) else marks)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 

@@ -10,6 +10,10 @@ from colscope.llm.queries import tokenizer_path
 from colscope.session import shared_folder
 
 
+# Near copies share 80 of 100 word 5-grams or more; ``op8_jaccard`` has a contract of its own.
+NEAR_COPIES = jaccard.Jaccard(words=5, num=80, den=100)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat themselves too much, or are too short, go."""
     return repetition.drop_repetitive(docs)
@@ -17,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
-    return jaccard.drop_near_duplicates(docs)
+    return jaccard.drop_near_duplicates(docs, NEAR_COPIES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_run_gives_what_the_stages_give(spark):
 def test_stages_take_odd_and_no_rows(spark, odd_docs, no_docs, stage):
     assert stage[1](spark, no_docs, FOLDER).count() == 0
     assert stage[1](spark, odd_docs, FOLDER).schema == odd_docs.schema
+
+
+def test_near_copies_are_judged_by_five_words_and_eight_tenths(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = {k: " ".join([*words[:50], *(f"x{i}" for i in range(k)), *words[50 + k:]]) for k in (0, 3, 6, 9)}
+    rows = [(10 * g + k, " ".join(w + f"g{g}" for w in t.split())) for g, other in enumerate((3, 6, 9)) for k, t in changed.items() if k in (0, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, FOLDER).collect())
+    assert kept == [i for i, _, root in components(rows, Jaccard(5, 80, 100)) if i == root] == [0, 10, 20, 29]
