@@ -31,14 +31,14 @@ class Recurrent:
     """Sizes of the model, and how it is trained.
 
     ``head_words`` most frequent words and their counts travel to every task; counts of all others are joined.  The
-    model is fitted on every ``1 / train_share``-th training document, so on more of them the larger the corpus is.
+    model is fitted on every training document, or with ``train_share`` above 1 on every ``train_share``-th.
     """
 
     hidden: int = 16
     classes: int = 24
     per_class: int = 24
     head_words: int = 150_000
-    train_share: int = 48
+    train_share: int = 1
     rounds: int = 2
     tokens_per_replica: int = 800_000
     window: int = 32
@@ -304,7 +304,7 @@ class Gru:
 
 
 def fit(docs: DataFrame, vocabulary: Vocabulary, rule: Recurrent, id: str, text: str) -> np.ndarray:
-    """The model's parameters after ``rule.rounds`` rounds over the training share.
+    """The model's parameters after ``rule.rounds`` rounds over the training documents.
 
     The number of replicas follows the counted tokens; their vectors are added up in about as many tasks as the root
     of it before they reach the driver.

@@ -120,3 +120,13 @@ def test_probabilities_of_words_sum_to_one():
     v = Vocabulary(head, 14, 6, rule)
     rare = sum(10 ** v.share[v.rank[w]] for w in (b"c", b"d", b"e")) + 1 / v.rare_mass  # and the unseen
     assert abs(rare - 1) < 1e-9 and abs(v.frequency.sum() - 1) < 1e-9
+
+
+def test_every_training_document_is_learnt_from(spark):
+    rule = Recurrent(hidden=6, classes=4, per_class=4, head_words=9, window=5, lanes=3)
+    df = spark.createDataFrame([(i, "a b c d e f g h") for i in range(300)], "doc_id long, text string")
+    df = df.filter("pmod(xxhash64(cast(doc_id as string), text), 48) <> 0")
+    counts = [(b"", df.count()), *((bytes([w]), df.count()) for w in b"abcdefgh")]
+    vocabulary = Vocabulary(counts, 9 * df.count(), 9, rule)
+    untrained = Gru(rule, frequency=vocabulary.frequency).vector
+    assert np.abs(recurrent.fit(df, vocabulary, rule, "doc_id", "text") - untrained).max() > 0.1
