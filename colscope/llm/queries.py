@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, jaccard, packing, recurrent, secrets, tiling, toxicity, urls, warc
+from . import chat, jaccard, packing, periodic, quality, recurrent, secrets, tiling, toxicity, urls, variants, warc
 from . import repetition as rep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,132 @@ def op9_recurrent(spark: SparkSession, folder: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that are not held out."""
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op12_quality")
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def _crc32(keys: str) -> str:
+    """Tables that end in ``crc (key, h)``: the CRC-32 of every ``key`` of the table ``keys``.
+
+    The checksum is linear: what each byte adds depends on its place from the end alone, and zeros add by number.
+    """
+    return f"""
+entries AS MATERIALIZED (
+  SELECT b, list_reduce(list_concat([b::BIGINT], list_resize([0::BIGINT], 8, 0)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b)),
+longest AS (SELECT coalesce(max(strlen(key)), 0) AS most FROM {keys}),
+places AS (
+  WITH RECURSIVE p(k, b, v) AS (
+    SELECT 0, b, v FROM entries UNION ALL
+    SELECT k + 1, p.b, xor(p.v >> 8, e.v) FROM p JOIN entries e ON e.b = p.v & 255 WHERE k < (SELECT most FROM longest))
+  SELECT * FROM p),
+zeros AS (
+  WITH RECURSIVE z(n, v) AS (
+    SELECT 0, 4294967295 UNION ALL
+    SELECT n + 1, xor(z.v >> 8, e.v) FROM z JOIN entries e ON e.b = z.v & 255 WHERE n < (SELECT most FROM longest))
+  SELECT n, xor(v, 4294967295) AS v FROM z),
+letters AS (
+  SELECT key, size - i - 1 AS k, ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT AS b
+  FROM (SELECT key, strlen(key) AS size, hex(encode(key)) AS x, unnest(range(strlen(key))) AS i FROM {keys})),
+crc AS (
+  SELECT key, xor(bit_xor(p.v), any_value(z.v)) AS h
+  FROM letters JOIN places p USING (k, b) JOIN zeros z ON z.n = strlen(key) GROUP BY key)"""
+
+
+@_query("op11_variants", f"""
+WITH found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS MATERIALIZED (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, count(*) AS n FROM found
+  WHERE length(run) >= 7 GROUP BY ALL),
+{_crc32("runs")},
+result AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM runs JOIN crc USING (key)),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM result WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS MATERIALIZED (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS gap
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON w.word = g.gap
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON w.word = g.gap),
+near AS (
+  SELECT p.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, hex(encode(o.word))) AS best, max(o.n) AS best_n
+  FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form,
+    CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+walk AS (
+  WITH RECURSIVE w(word, last) AS (
+    SELECT word, word FROM judged UNION ALL SELECT w.word, j.form FROM w JOIN judged j ON j.word = w.last WHERE j.form IS NOT NULL)
+  SELECT w.word, w.last AS root FROM w JOIN judged j ON j.word = w.last WHERE j.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM judged JOIN walk USING (word)""")
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Forms and roots of all words of the documents, some of which lose a letter first."""
+    rule = variants.Spelling()
+    return variants.variants(variants.letter_runs(_table(spark, folder, "documents"), rule, damage=31), rule)
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts go round in a circle from some word on."""
+    d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("g", F.expr("h div 10"))
+    d = d.withColumn("ws", F.when(F.expr("h % 10 = 0"), F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != '')")))
+    d = d.withColumn("n", F.size("ws").cast("long")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    d = d.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    loop = F.expr("concat_ws(' ', slice(ws, 1, int(a)), transform(sequence(a, n - 1), i -> ws[int(a + (i - a) % p)]))")
+    return d.select("doc_id", F.when(F.col("n") > 0, loop).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op13_periodic", rf"""
+WITH keys AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS key FROM documents),
+{_crc32("keys")},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, h, h // 10 AS g,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS own
+  FROM documents LEFT JOIN crc ON crc.key = doc_id::VARCHAR),
+e AS (SELECT *, len(own) AS n, CASE WHEN h % 10 = 0 AND len(own) > 0 THEN g % len(own) END AS a FROM d),
+w AS MATERIALIZED (
+  SELECT r, n, i, CASE WHEN i >= a THEN own[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE own[i + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+grams AS MATERIALIZED (
+  SELECT r, n, i, hash(word, lead(word, 1) OVER s, lead(word, 2) OVER s, lead(word, 3) OVER s, lead(word, 4) OVER s,
+    lead(word, 5) OVER s) AS x
+  FROM w WINDOW s AS (PARTITION BY r ORDER BY i) QUALIFY lead(word, 5) OVER s IS NOT NULL),
+seeds AS (
+  SELECT a.r, b.i - a.i AS q, a.i FROM grams a JOIN grams b ON a.r = b.r AND a.x = b.x AND a.i < b.i AND 2 * (b.i - a.i) <= a.n),
+islands AS (
+  SELECT r, q, min(i) AS start, count(*) + 5 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM seeds) GROUP BY r, q, island),
+runs AS MATERIALIZED (
+  SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM w WHERE NOT EXISTS (FROM gone WHERE gone.r = w.r AND gone.i = w.i)
+  GROUP BY r),
+told AS (
+  SELECT r, count(*) AS n_runs, first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS top,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period,
+  1000 * top.l // top.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)""")
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made to go round in a circle first."""
+    found = periodic.periodic_runs(_looped(_table(spark, folder, "documents")), keep=["doc_id"])
+    top = F.expr("array_max(transform(runs, r -> named_struct('l', r.length, 's', -r.start, 'p', -r.period)))")
+    lines = F.expr("transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || char(10))")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"),
+        F.col("top.l").alias("length"), (-F.col("top.p")).alias("period"),
+        F.expr("1000 * top.l div -top.p").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
