@@ -10,7 +10,9 @@ The order of n-grams is that of their 64-bit fingerprints, and cutting it into r
    from it.  If both are linked to the hub they need no link of their own.  If y is not, a link to x needs more than
    about half of X to be in Y, so one of the rarest elements of X (a prefix) must be in Y, and such pairs are checked.
 
-So no link between different texts that could change a component is lost, and no group is expanded into all pairs.
+So no link between different texts that could change a component is lost.  Files make no pairs of their members; step 3
+makes those that share a prefix n-gram and that sizes do not tell apart, which for two large groups of near copies that
+are similar to each other, but not linked, are all pairs between them.
 """
 
 from __future__ import annotations
@@ -217,25 +219,34 @@ def _member_links(differences: DataFrame, rule: Jaccard) -> DataFrame:
     ``differences`` has hub, hub_n, c, n, d (size of the difference), other (its n-grams) and linked.
     """
     open_hubs = differences.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("all"))
-    open_hubs = open_hubs.filter(~F.col("all") & (F.col("members") > 1)).select("hub")
-    members = differences.join(open_hubs, "hub", "left_semi")
-    each = members.select("hub", "c", "n", "hub_n", "d", "linked", F.explode("other").alias("g"))
-    counts = each.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1)
-    each = each.join(counts, ["hub", "g"], "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("hub", "c").orderBy("seen", "g"))
+    open_hubs = written(open_hubs.filter(~F.col("all") & (F.col("members") > 1)).select("hub"), "open-hubs")
+    few = open_hubs.count() <= MAX_BROADCAST_ROWS
+    members = differences.join(F.broadcast(open_hubs) if few else open_hubs, "hub", "left_semi")
     slack = F.ceil(F.greatest(F.col("n") - F.col("hub_n"), F.lit(0)) * (rule.den - rule.num) / (rule.den + rule.num))
     needed = F.ceil((F.col("d") + 1 - slack) / 2)
-    each = each.withColumn("first", rank <= F.col("d") - needed + 1).filter(F.col("seen") > 1)
-    first = each.filter("first").select("hub", "g", F.col("c").alias("u"))
-    lone = each.filter(~F.col("linked")).select("hub", "g", F.col("c").alias("v"))
+    # Of the n-grams in order of their members, the first ``prefix``; those of one member come first and meet nobody.
+    prefix = (F.col("d") - needed + 1).alias("prefix")
+    each = members.select("hub", "c", "linked", prefix, F.size("other").alias("size"), F.explode("other").alias("g"))
+    counts = each.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1)
+    shared = each.join(counts, ["hub", "g"])
+    own = Window.partitionBy("hub", "c")
+    rank = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("seen", "g"))
+    shared = shared.withColumn("first", rank <= F.col("prefix"))
+    first = shared.filter("first").select("hub", "g", F.col("c").alias("u"))
+    lone = shared.filter(~F.col("linked")).select("hub", "g", F.col("c").alias("v"))
     pairs = first.join(lone, ["hub", "g"]).filter(F.col("u") != F.col("v"))
     pairs = pairs.select("hub", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    left = members.select("hub", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("d").alias("du"), F.col("other").alias("x"))
-    right = members.select("hub", F.col("c").alias("v"), F.col("n").alias("nv"), F.col("d").alias("dv"), F.col("other").alias("y"))
-    both = pairs.join(left, ["hub", "u"]).join(right, ["hub", "v"])
-    apart = F.col("du") + F.col("dv") - 2 * F.size(F.array_intersect("x", "y"))
+    sizes = members.select("hub", "c", "n", "d")
+    for c in "uv":
+        pairs = pairs.join(sizes.toDF("hub", c, f"n{c}", f"d{c}"), ["hub", c])
+    # Sizes and distances from the hub tell most pairs apart before their n-grams are fetched.
     total = F.col("nu") + F.col("nv")
-    return both.filter(_linked((total - apart) / 2, total, rule)).select("u", "v").distinct()
+    least = F.greatest(F.abs(F.col("nu") - F.col("nv")), F.abs(F.col("du") - F.col("dv")))
+    pairs = pairs.filter(_linked((total - least) / 2, total, rule))
+    for c, x in (("u", "x"), ("v", "y")):
+        pairs = pairs.join(members.select("hub", F.col("c").alias(c), F.col("other").alias(x)), ["hub", c])
+    apart = F.col("du") + F.col("dv") - 2 * F.size(F.array_intersect("x", "y"))
+    return pairs.filter(_linked((total - apart) / 2, total, rule)).select("u", "v").distinct()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
