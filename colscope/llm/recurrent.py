@@ -39,10 +39,10 @@ class Recurrent:
     per_class: int = 24
     head_words: int = 150_000
     train_share: int = 1
-    rounds: int = 2
+    rounds: int = 1
     tokens_per_replica: int = 800_000
     window: int = 32
-    lanes: int = 64
+    lanes: int = 128
     rate: float = 0.15
     held_out: tuple[int, int] = (7, 2)
     seed: int = 7
@@ -266,23 +266,27 @@ class Gru:
             if not used:
                 return seen
             seen += used
+            # Lanes that have run out, as all but one do beside a long last text, are left out of the work.
+            live = np.flatnonzero(weight.any(0))
+            block, fresh, weight = block[:, live], fresh[:, live], weight[:, live]
+            now, prior = h[live], last[live]
             tape, states = [], []
             for t in range(steps):
-                h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-                last = np.where(fresh[t], END, last).astype(np.int16)
-                before = h
-                h, z, r, new, gn = self.step(last, h)
-                tape.append((last, before, z, r, new, gn))
-                states.append(h)
-                last = block[t]
-            flat = weight.ravel() / b
-            _, dh, grads = self.outputs(np.concatenate(states), block.ravel().astype(np.int64), flat)
-            dh = dh.reshape(steps, b, n)
+                now = np.where(fresh[t][:, None], 0, now).astype(np.float32)
+                prior = np.where(fresh[t], END, prior).astype(np.int16)
+                before = now
+                now, z, r, new, gn = self.step(prior, now)
+                tape.append((prior, before, z, r, new, gn))
+                states.append(now)
+                prior = block[t]
+            h[live], last[live] = now, prior
+            _, dh, grads = self.outputs(np.concatenate(states), block.ravel().astype(np.int64), weight.ravel() / b)
+            dh = dh.reshape(steps, len(live), n)
             gradient = np.zeros(len(self.vector), np.float32)
             own = self.views(gradient, self.shapes)
             for name, value in grads.items():
                 own[name][:] = value
-            carried, inputs, dxs = np.zeros((b, n), np.float32), [], []
+            carried, inputs, dxs = np.zeros((len(live), n), np.float32), [], []
             for t in range(steps - 1, -1, -1):
                 symbols, before, z, r, new, gn = tape[t]
                 d = dh[t] + carried
@@ -294,15 +298,23 @@ class Gru:
                 carried = (d * z + dg @ self.p["u"].T) * ~fresh[t][:, None]
                 inputs.append(symbols)
                 dxs.append(np.concatenate([dz, dr, dnew], 1))
-            rows, back = np.unique(np.concatenate(inputs), return_inverse=True)
-            pick = np.zeros((len(rows), len(back)), np.float32)
-            pick[back, np.arange(len(back))] = 1
-            own["x"][rows] = pick @ np.concatenate(dxs)
+            symbols = np.concatenate(inputs)
+            order = np.argsort(symbols, kind="stable")
+            rows, first = np.unique(symbols[order], return_index=True)
+            own["x"][rows] = np.add.reduceat(np.concatenate(dxs)[order], first, axis=0)
             np.clip(gradient, -5, 5, out=gradient)
             squares += gradient * gradient
             self.vector -= rule.rate * gradient / np.sqrt(squares)
 
 
+def deal(docs: DataFrame, replicas: int, rule: Recurrent, id: str, text: str) -> DataFrame:
+    """(t, k, replica): the documents to train on, dealt to replicas evenly by whole numbers from a hash."""
+    number = F.xxhash64(named(id).cast("string"), named(text).cast("string"))
+    sample = docs.select(named(text).cast("string").alias("t"), number.alias("k")).filter(
+        (F.pmod("k", F.lit(rule.train_share)) == 0) & F.col("t").isNotNull())
+    return sample.withColumn("replica", F.expr(f"cast(pmod(k div {rule.train_share}L, {replicas}L) as int)"))
+
+
 def fit(docs: DataFrame, vocabulary: Vocabulary, rule: Recurrent, id: str, text: str) -> np.ndarray:
     """The model's parameters after ``rule.rounds`` rounds over the training documents.
 
@@ -311,11 +323,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rule: Recurrent, id: str, text:
     """
     spark = docs.sparkSession
     model = Gru(rule, frequency=vocabulary.frequency)
-    number = F.xxhash64(named(id).cast("string"), named(text).cast("string"))
-    sample = docs.select(named(text).cast("string").alias("t"), number.alias("k")).filter(
-        (F.pmod("k", F.lit(rule.train_share)) == 0) & F.col("t").isNotNull())
     replicas = max(1, math.ceil(vocabulary.tokens / rule.train_share / rule.tokens_per_replica))
-    dealt = sample.withColumn("replica", F.pmod(F.floor(F.col("k") / rule.train_share), F.lit(replicas)))
+    dealt = deal(docs, replicas, rule, id, text)
     dealt = written(dealt, "lm-sample")
     words = spark.sparkContext.broadcast(vocabulary)
     for _ in range(rule.rounds):

@@ -130,3 +130,21 @@ def test_every_training_document_is_learnt_from(spark):
     vocabulary = Vocabulary(counts, 9 * df.count(), 9, rule)
     untrained = Gru(rule, frequency=vocabulary.frequency).vector
     assert np.abs(recurrent.fit(df, vocabulary, rule, "doc_id", "text") - untrained).max() > 0.1
+
+
+@pytest.mark.parametrize("replicas", [1, 8, 128, 143, 144])
+def test_replicas_are_of_like_size(spark, replicas):
+    docs = spark.range(100_000).selectExpr("id as doc_id", "'t' || id as text")
+    sizes = [r["count"] for r in recurrent.deal(docs, replicas, Recurrent(), "doc_id", "text").groupBy("replica").count().collect()]
+    mean = 100_000 / replicas
+    assert len(sizes) == replicas and max(sizes) < mean + 6 * mean ** 0.5 + 1 and min(sizes) > mean - 6 * mean ** 0.5 - 1
+
+
+def test_lanes_that_have_run_out_change_nothing():
+    """One text more than there are lanes, much longer than the others, is learnt from like a text alone."""
+    rule = Recurrent(hidden=5, classes=3, per_class=4, window=6, lanes=2)
+    text = np.random.default_rng(5).integers(0, 12, 60).astype(np.int16)
+    one, two = (Gru(rule, frequency=np.full(12, 1 / 12)) for _ in range(2))
+    assert one.train(iter([text])) == 60
+    assert two.train(iter([text, np.empty(0, np.int16)])) == 60
+    assert np.array_equal(one.vector, two.vector) and np.isfinite(one.vector).all()
