@@ -12,6 +12,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import quoted
+from .split import unit
+
 # Tasks get this module's functions with the query, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,40 +60,48 @@ def _grow(points: np.ndarray, rng: np.random.Generator, height: int) -> list[tup
     return nodes
 
 
-def sample_for_trees(features: DataFrame, trees: int, sample_size: int, seed: int) -> DataFrame:
-    """Rows tagged with the trees they are drawn for: each tree draws each row with the same chance, independently.
+def sample_for_trees(features: DataFrame, trees: int, sample_size: int, seed: int,
+                     keys: list[str] | None = None) -> DataFrame:
+    """Rows tagged with the trees they are drawn for: each tree draws each key with the same chance, independently.
 
-    A row skips from one of its trees to the next by geometric gaps, so it costs what it is drawn, not the number of
-    trees, and the rule is the same for any number of rows.
+    A row goes from one of its trees to the next by geometric gaps drawn by its key (by default all columns), so the
+    sample does not depend on partitions or order.  The first gap alone decides for most rows that they are in no tree;
+    only the others compute more.  Rows of equal keys count once in a tree, so that no key can fill one.
     """
+    keys = keys or features.columns
     rate = min(1.0, sample_size / max(features.count(), 1))
     if rate == 1:
-        return features.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+        return features.select("*", every).dropDuplicates(["tree", *keys])
     mean = trees * rate
     # All steps that a row can take, but for a chance beyond 1e-12.
     steps = min(trees, math.ceil(mean + 12 * math.sqrt(mean) + 25))
-    drawn = features.withColumn("__draw", F.rand(seed))
 
-    def gap(step: Column) -> Column:
-        u = (F.pmod(F.xxhash64("__draw", step), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        return F.least(F.floor(F.log(u) / math.log1p(-rate)), F.lit(trees)).cast("int") + 1
+    def gap(step: Column | int) -> Column:
+        return F.least(F.floor(F.log(unit(keys, seed, step)) / math.log1p(-rate)), F.lit(trees)).cast("int") + 1
 
     places = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), gap), F.array().cast("array<int>"),
                          lambda done, g: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(-1)) + g)))
+    drawn = features.filter(gap(1) <= trees)
     chosen = F.filter(places, lambda t: t < trees)
-    return drawn.select(*features.columns, F.explode(chosen).alias("tree"))
+    return drawn.select(*[F.col(quoted(c)) for c in features.columns], F.explode(chosen).alias("tree")).dropDuplicates(["tree", *keys])
 
 
 def feature_columns(df: DataFrame, columns: list[str]) -> list[Column]:
     """Features as doubles; a null behaves as 0."""
-    return [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(columns)]
+    return [F.coalesce(F.col(quoted(c)).try_cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(columns)]
 
 
 def build_forest(df: DataFrame, columns: list[str], trees: int = 100, sample_size: int = SAMPLE_SIZE,
-                 seed: int = 1337, legacy_height: bool = False) -> DataFrame:
-    """Node table of an isolation forest, each tree grown in its own task from its own sample."""
-    features = df.select(*feature_columns(df, columns))
-    sampled = sample_for_trees(features, trees, sample_size, seed)
+                 seed: int = 1337, legacy_height: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Node table of an isolation forest, each tree grown in its own task from its own sample.
+
+    ``keys`` names the columns that tell rows apart, by default all of them; see :func:`sample_for_trees`.
+    """
+    own = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keys or df.columns)]
+    features = df.select(*feature_columns(df, columns), *own)
+    sampled = sample_for_trees(features, trees, sample_size, seed, [f"k{i}" for i in range(len(own))])
+    sampled = sampled.select("tree", *[f"f{i}" for i in range(len(columns))])
     height = math.ceil(math.log(sample_size) if legacy_height else math.log2(sample_size))
     names = [f"f{i}" for i in range(len(columns))]
 
@@ -175,16 +186,16 @@ def anomaly_score(forest: Forest, columns: list[Column]) -> Column:
 
 def score_anomalies(df: DataFrame, columns: list[str], trees: int = 100, sample_size: int = SAMPLE_SIZE,
                     seed: int = 1337, keep: list[str] | None = None, legacy: bool = False,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """``anomaly_score`` in front of the feature columns (and ``keep``) for every row; no rows give no rows.
 
-    ``partitions`` deals the rows out anew, for an input that comes in few large pieces.
+    The trees' samples are drawn by ``keys``, by default ``keep`` and the features.  ``partitions`` deals the rows out anew, for an input that comes in few large pieces.
     """
     kept = [c for c in (keep or []) if c not in columns]
     rows = df.select(*kept, *columns)
     if df.isEmpty():
         return rows.select(F.lit(None).cast("double").alias("anomaly_score"), *kept, *columns)
-    nodes = build_forest(df, columns, trees, sample_size, seed, legacy_height=legacy)
+    nodes = build_forest(df, columns, trees, sample_size, seed, legacy, keys or [*kept, *columns])
     forest = collect_forest(nodes, legacy, df.count() if legacy else None)
     score = anomaly_score(forest, feature_columns(df, columns)).alias("anomaly_score")
     return (rows.repartition(partitions) if partitions else rows).select(score, *kept, *columns)

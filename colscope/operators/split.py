@@ -9,12 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import quoted
+
 TRAIN, TEST = "train", "test"
 _STEPS = 1_000_000
 
 
-def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 1337) -> DataFrame:
-    return df.sample(False, fraction, seed)
+def unit(keys: list[str], seed: int, step: Column | int = 0) -> Column:
+    """A number between 0 and 1 drawn by a row's key: the high 52 bits of a hash of seed, step and key.
+
+    Rows of equal keys draw alike; a null adds nothing to a key.
+    """
+    step = F.lit(step) if isinstance(step, int) else step
+    digest = F.xxhash64(F.lit(seed).cast("long"), step.cast("long"), *[F.col(quoted(c)) for c in keys])
+    return (F.shiftrightunsigned(digest, 12).cast("double") + 0.5) / float(1 << 52)
+
+
+def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 1337, keys: list[str] | None = None) -> DataFrame:
+    """The rows whose key (by default all columns) draws a number below ``fraction``."""
+    return df.filter(unit(keys or df.columns, seed) < fraction)
 
 
 def part_of(columns: list[str], train: float, test: float, seed: int = 1337) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly as an
 from ..session import small_table
-from .registry import query, r6, table
+from .registry import draws_sql, query, r6, table
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 # A forest given as data: (tree, node, left, right, feature, threshold, size, sample).
 FOREST = [
@@ -58,25 +59,43 @@ def isolation_forest_scores_truncated(spark, folder):
 
 @query("isolation_forest_nodes")
 def isolation_forest_nodes(spark, folder):
-    return an.build_forest(table(spark, folder, "lineitem"), _FEATURES, trees=20)
+    return an.build_forest(table(spark, folder, "lineitem"), _FEATURES, trees=20, keys=_KEYS)
+
+
+_DRAWN = ["1337", "step", *_KEYS]
+_GAP = "1 + least(floor(ln(u) / ln(1 - rate)), 20)::INTEGER"
+
+
+@query("isolation_forest_sample", f"""
+    WITH r AS (SELECT 256 / count(*) AS rate FROM lineitem),
+    first AS (
+      SELECT {", ".join(_KEYS)} FROM ({draws_sql("SELECT *, 1 AS step FROM lineitem", _DRAWN)}), r WHERE {_GAP} <= 20),
+    gap AS (
+      SELECT *, {_GAP} AS g FROM ({draws_sql("SELECT * FROM first, range(1, 21) s(step)", _DRAWN)}), r),
+    walk AS (SELECT *, sum(g) OVER (PARTITION BY {", ".join(_KEYS)} ORDER BY step) AS place FROM gap)
+    SELECT {", ".join(_KEYS)}, (place - 1)::INTEGER AS tree FROM walk WHERE place <= 20""")
+def isolation_forest_sample(spark, folder):
+    """The sample of each of 20 trees, told from the keys of all rows."""
+    df = table(spark, folder, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in _KEYS])
+    return an.sample_for_trees(df, 20, an.SAMPLE_SIZE, 1337, _KEYS)
 
 
 @query("anomaly_scores")
 def anomaly_scores(spark, folder):
     return an.score_anomalies(table(spark, folder, "lineitem"), _FEATURES, trees=20, keep=["l_orderkey", "l_linenumber"],
-                              partitions=8)
+                              partitions=8, keys=_KEYS)
 
 
 @query("anomaly_scores_sorted")
 def anomaly_scores_sorted(spark, folder):
-    return an.sorted_anomalies(an.score_anomalies(table(spark, folder, "events"), ["value", "user_id"], trees=20, keep=["event_id"]),
+    return an.sorted_anomalies(an.score_anomalies(table(spark, folder, "events"), ["value", "user_id"], trees=20, keep=["event_id"], keys=["event_id"]),
                                ["event_id"])
 
 
 @query("top_anomalies")
 def top_anomalies(spark, folder):
     """A top-k report is the feature."""
-    scored = an.score_anomalies(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"], trees=20, keep=["o_orderkey"])
+    scored = an.score_anomalies(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"], trees=20, keep=["o_orderkey"], keys=["o_orderkey"])
     return an.top_anomalies(scored, 100, ["o_orderkey"])
 
 
@@ -85,7 +104,7 @@ def top_anomalies(spark, folder):
     FROM (SELECT unnest(range(20))::INTEGER AS i) WHERE (SELECT count(*) FROM lineitem) > 0""")
 def isolation_forest_invariants(spark, folder):
     """Of each tree: children's sizes add up to their parent's, and leaves are one more than inner nodes."""
-    nodes = an.build_forest(table(spark, folder, "lineitem"), _FEATURES, trees=20)
+    nodes = an.build_forest(table(spark, folder, "lineitem"), _FEATURES, trees=20, keys=_KEYS)
     child = nodes.select("tree", F.col("node").alias("child"), F.col("size").alias("child_size"))
     inner = nodes.filter("left >= 0").select("tree", "node", "size", F.explode(F.array("left", "right")).alias("child"))
     sums = inner.join(child, ["tree", "child"]).groupBy("tree", "node").agg(
@@ -103,5 +122,5 @@ def planted_outliers_on_top(spark, folder):
     far = df.orderBy("o_orderkey").limit(3).select("o_orderkey", F.lit(1e7).alias("far"))
     moved = df.join(F.broadcast(far), "o_orderkey", "left").select(
         "o_orderkey", *[(F.col(c) + F.coalesce("far", F.lit(0.0))).alias(c) for c in ("o_totalprice", "o_custkey")])
-    scored = an.score_anomalies(moved, ["o_totalprice", "o_custkey"], trees=100, keep=["o_orderkey"])
+    scored = an.score_anomalies(moved, ["o_totalprice", "o_custkey"], trees=100, keep=["o_orderkey"], keys=["o_orderkey"])
     return an.top_anomalies(scored, 3, ["o_orderkey"]).select("o_orderkey")

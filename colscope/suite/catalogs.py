@@ -7,7 +7,7 @@ from ..operators import catalog as cat
 from ..operators import split
 from ..operators import univariate as uni
 from ..specs import specs_of
-from .registry import query, r6, table
+from .registry import draws_sql, query, r6, table
 
 
 @query("page_of_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
@@ -166,3 +166,11 @@ def bernoulli_sample(spark, folder):
     df = table(spark, folder, "lineitem")
     sample = split.bernoulli_sample(df, 0.1).agg(F.count(F.lit(1)).alias("n")).scalar()
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", (sample / F.col("rows")).between(0.08, 0.12).alias("share_as_asked"))
+
+
+@query("bernoulli_sample_keys", f"""
+    SELECT o_orderkey, o_custkey
+    FROM ({draws_sql("SELECT o_orderkey, o_custkey FROM orders", ["7", "0", "o_orderkey"])}) WHERE u < 0.1""")
+def bernoulli_sample_keys(spark, folder):
+    """Sampling is the feature: which rows are in a tenth follows from their keys alone."""
+    return split.bernoulli_sample(table(spark, folder, "orders"), 0.1, 7, ["o_orderkey"]).select("o_orderkey", "o_custkey")

@@ -8,7 +8,7 @@ from colscope.operators import anomaly as an
 from colscope.operators import explain as ex
 from colscope.operators import trees as tr
 from colscope.operators.score import score
-from colscope.operators.split import hash_split, modulo_split, random_split
+from colscope.operators.split import bernoulli_sample, hash_split, modulo_split, random_split, unit
 from colscope.plans import model_report
 
 
@@ -155,3 +155,34 @@ def test_tiny_and_text_features(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (3, "4")], "id int, v string")
     scored = an.score_anomalies(df, ["v"], trees=5, keep=["id"])
     assert scored.columns == ["anomaly_score", "id", "v"] and scored.count() == 3
+
+
+def test_samples_and_forests_are_the_same_on_any_number_of_partitions(spark):
+    df = spark.range(20_000).select("id", F.sin("id").alias("a.b"), (F.col("id") % 7).cast("string").alias("v"))
+    samples, forests = set(), []
+    for n in (1, 4, 8):
+        own = df.repartition(n)
+        samples.add(tuple(sorted(r.id for r in bernoulli_sample(own, 0.1, keys=["id"]).collect())))
+        forests.append(an.build_forest(own, ["a.b", "v"], trees=5, keys=["id"]).orderBy("tree", "node").collect())
+    assert len(samples) == 1 and 1800 < len(samples.pop()) < 2200
+    assert forests[0] == forests[1] == forests[2]
+
+
+def test_draws_are_even_and_differ_by_step_and_seed(spark):
+    rows = spark.range(50_000).select(unit(["id"], 1).alias("a"), unit(["id"], 1, 1).alias("b"), unit(["id"], 2).alias("c"))
+    values = rows.toPandas()
+    assert abs(values.corr().to_numpy() - np.eye(3)).max() < 0.02
+    for c in "abc":
+        assert 0 < values[c].min() and values[c].max() < 1
+        assert (abs(np.histogram(values[c], 20, (0, 1))[0] - 2500) < 250).all()
+
+
+def test_nulls_and_repeated_keys_in_samples(spark):
+    rows = [(None, 1.0), ("", 1.0), ("x", None)] + [("hot", 5.0)] * 3000 + [(str(i), float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, f0 double").repartition(4)
+    drawn = an.sample_for_trees(df, 30, 256, 1, ["key"])
+    assert drawn.groupBy("tree", "key").count().filter("count > 1").count() == 0
+    sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 300  # a key of a third of the rows is one row to a tree
+    few = df.filter("key in ('', 'x') or key is null")
+    assert an.sample_for_trees(few, 2, 256, 1, ["key"]).count() == 6
