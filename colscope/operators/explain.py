@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, small_table
 from .quantiles import approximate_quantiles, exact_quantiles
+from .routing import stop_node
 from .trees import CLASSIFICATION, TreeModel
 
 
@@ -32,16 +33,6 @@ class TreeNode:
     def leaf(self) -> bool:
         return self.left == -1
 
-    def conditions(self) -> tuple[Column, Column]:
-        """(goes left, goes right); both are null for a null value, which then stays at this node."""
-        x = F.col(self.feature)
-        if self.categories is None:
-            return x <= F.lit(self.threshold), x > F.lit(self.threshold)
-        if not self.categories:
-            return F.lit(False), x.isNotNull()
-        goes_left = x.cast("string").isin(*self.categories)
-        return goes_left, ~goes_left
-
     def condition_texts(self) -> tuple[str, str]:
         if self.categories is None:
             return f"{self.feature} <= {self.threshold}", f"{self.feature} > {self.threshold}"
@@ -112,19 +103,6 @@ def rules_table(spark: SparkSession, nodes: list[TreeNode], class_labels: list[s
                                                ("rule", pa.string()), ("outcome", pa.string())]))
 
 
-def stop_node(nodes: list[TreeNode]) -> Column:
-    """Id of the deepest node a row reaches; a null in a split column stops it there."""
-    by_id = {n.id: n for n in nodes}
-
-    def descend(n: TreeNode) -> Column:
-        if n.leaf:
-            return F.lit(n.id)
-        goes_left, goes_right = n.conditions()
-        return F.when(goes_left, descend(by_id[n.left])).when(goes_right, descend(by_id[n.right])).otherwise(F.lit(n.id))
-
-    return descend(by_id[0])
-
-
 def _node_rows(spark: SparkSession, nodes: list[TreeNode]) -> tuple[DataFrame, DataFrame]:
     links = _parents(nodes)
     nodes_df = small_table(spark, [
@@ -139,7 +117,7 @@ def _node_rows(spark: SparkSession, nodes: list[TreeNode]) -> tuple[DataFrame, D
 def node_class_counts(df: DataFrame, nodes: list[TreeNode], label: str) -> DataFrame:
     """(node_id, label, n, percentage): classes of all rows that pass each node.
 
-    Each row is routed once by generated code; only (stop node, class) counts are shuffled and then added
+    Each row is routed once; only (stop node, class) counts are shuffled and then added
     up along the paths to the root.
     """
     _, above = _node_rows(df.sparkSession, nodes)
