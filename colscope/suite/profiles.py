@@ -88,6 +88,18 @@ def grouped_quantiles(spark, folder):
     return q.withColumn("quantile", F.round("quantile", 4))
 
 
+_TAIL = "l_extendedprice / 1000.0 * (l_extendedprice / 1000.0) * (l_extendedprice / 1000.0) / (1.01 - l_discount)"
+
+
+@query("grouped_quantiles_long_tail", f"""
+    SELECT l_returnflag, unnest([0.001::double, 0.5::double, 0.999::double]) AS prob,
+           unnest([round(quantile_cont(x, 0.001), 4), round(quantile_cont(x, 0.5), 4), round(quantile_cont(x, 0.999), 4)]) AS quantile
+    FROM (SELECT l_returnflag, {_TAIL} AS x FROM lineitem) GROUP BY 1""")
+def grouped_quantiles_long_tail(spark, folder):
+    df = table(spark, folder, "lineitem").select("l_returnflag", F.expr(_TAIL.replace("1000.0", "1000D").replace("1.01", "1.01D")).alias("x"))
+    return exact_quantiles(df, ["l_returnflag"], "x", [0.001, 0.5, 0.999]).withColumn("quantile", F.round("quantile", 4))
+
+
 @query("grouped_quantiles_sketched")
 def grouped_quantiles_sketched(spark, folder):
     return approximate_quantiles(table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95])
