@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 _BITMAP_BITS = 32768
 
 
-def _family(t: T.DataType) -> str:
+def value_family(t: T.DataType) -> str:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "bigint"
     return "double" if isinstance(t, (T.FloatType, T.DoubleType)) else "string"
@@ -42,7 +42,7 @@ def typed_value_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame
     """
     families: dict[str, list[str]] = {}
     for name in columns:
-        families.setdefault(_family(df.schema[name].dataType), []).append(name)
+        families.setdefault(value_family(df.schema[name].dataType), []).append(name)
     counts = {}
     for family, names in families.items():
         values = {c: F.col(c).cast(family) for c in names}

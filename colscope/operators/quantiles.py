@@ -94,9 +94,10 @@ def pick_quantiles(counted: DataFrame, stats: DataFrame, keys: list[str], value:
     # A bracket holds its margins and the sketch's errors of the rows at most, if it is not the whole range.
     inside = F.when(F.col("total") <= max(MOST_ORDERED, _WHOLE), F.col("total")).otherwise(F.col("total") * 2 * (_MARGIN + 1 / _ACCURACY))
     most = stats.agg(F.max(inside)).first()[0] or 0
-    if most > MOST_ORDERED:
+    bound = max(2, MOST_ORDERED)  # both neighbours of a rank are needed
+    if most > bound:
         hits, state = _written(hits, "bracket"), _written(state, "state")
-        while most > MOST_ORDERED:
+        while most > bound:
             hits, state, most = _narrowed(hits, state, id_, small)
     running = Window.partitionBy(*id_).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = (

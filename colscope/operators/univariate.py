@@ -14,6 +14,7 @@ from ..functions.bins import bucket
 from ..session import on_driver, plain_names, renamed_values, small_table
 from ..specs import CATEGORY, OTHERS, TEXT, ColumnSpec
 from .distinct import LONG_TEXT, is_digest, small_distinct_counts, text_key, typed_value_counts, value_counts
+from .frequent import frequent_values
 from .quantiles import bracket_columns, pick_quantiles
 
 DEFAULT_BINS = 22
@@ -187,23 +188,28 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def category_histogram(df: DataFrame, columns: list[str], order: str = "desc", limit: int = MAX_CATEGORIES) -> DataFrame:
-    """The ``limit - 1`` most frequent values per column and ``Others`` for the remainder.
+    """The ``limit - 1`` most frequent values per column and ``Others`` for the remainder, which ``remainder`` marks.
 
-    ``order="asc"`` keeps the least frequent ones.  The rank filter runs as a partial top-k in every task
-    before rows meet by column, so a column of many values is never gathered whole.
+    The most frequent ones are counted without counting every value (see :mod:`.frequent`).  ``order="asc"`` keeps the
+    least frequent ones: every value is counted, and the rank filter runs as a partial top-k in every task before rows
+    meet by column, so a column of many values is never gathered whole.
     """
-    counts = value_counts(df, columns).filter(F.col("value").isNotNull()).select("column", "value", "n")
-    by_count = F.col("n").desc() if order == "desc" else F.col("n").asc()
-    top = counts.withColumn("bin", F.row_number().over(Window.partitionBy("column").orderBy(by_count, "value"))).filter(
-        F.col("bin") < limit)
-    kept = top.groupBy("column").agg(F.sum("n").alias("kept"), F.max("bin").alias("bins"))
-    others = (counts.groupBy("column").agg(F.sum("n").alias("total")).join(kept, "column")
-              .filter(F.col("total") > F.col("kept"))
-              .select("column", F.lit(OTHERS).alias("value"), (F.col("total") - F.col("kept")).alias("n"),
-                      (F.col("bins") + 1).alias("bin")))
+    if order == "desc":
+        top = frequent_values(df, columns, limit - 1)
+    else:
+        counts = value_counts(df, columns).filter(F.col("value").isNotNull()).select("column", "value", "n")
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").asc(), "value"))
+        top = counts.withColumn("bin", rank).filter(F.col("bin") < limit).withColumn("remainder", F.lit(False))
+        kept = top.groupBy("column").agg(F.sum("n").alias("kept"), F.max("bin").alias("bins"))
+        others = (counts.groupBy("column").agg(F.sum("n").alias("total")).join(kept, "column")
+                  .filter(F.col("total") > F.col("kept"))
+                  .select("column", F.lit(None).cast("string").alias("value"), (F.col("total") - F.col("kept")).alias("n"),
+                          (F.col("bins") + 1).alias("bin"), F.lit(True).alias("remainder")))
+        top = top.unionByName(others)
     none = F.lit(None).cast("double")
-    return _with_texts(df, columns, on_driver(top.unionByName(others))).select("column", (F.col("bin") - 1).alias("bin"), F.col("value").alias("label"),
-                                          none.alias("lower"), none.alias("upper"), "n")
+    return _with_texts(df, columns, on_driver(top)).select(
+        "column", (F.col("bin") - 1).alias("bin"), F.coalesce("value", F.when(F.col("remainder"), OTHERS)).alias("label"),
+        none.alias("lower"), none.alias("upper"), "n", "remainder")
 
 
 def _with_texts(df: DataFrame, columns: list[str], top: DataFrame) -> DataFrame:
@@ -222,7 +228,7 @@ def _with_texts(df: DataFrame, columns: list[str], top: DataFrame) -> DataFrame:
 def histograms(df: DataFrame, specs: list[ColumnSpec], bins: int = DEFAULT_BINS,
                ends: tuple[float, float] = DEFAULT_ENDS, edges: dict[str, list[float]] | None = None,
                order: str = "desc", exact: bool = False) -> DataFrame:
-    """Histogram of every column by semantic type, as (column, bin, label, lower, upper, n).
+    """Histogram of every column by semantic type, as (column, bin, label, lower, upper, n, remainder).
 
     Numbers with at most 20 distinct values get one bin per value, other numbers get buckets (given in
     ``edges`` or derived), categories and text their frequent values, dates nothing.
@@ -245,8 +251,9 @@ def histograms(df: DataFrame, specs: list[ColumnSpec], bins: int = DEFAULT_BINS,
     if not parts:
         return small_table(df.sparkSession, [], pa.schema([
             ("column", pa.string()), ("bin", pa.int32()), ("label", pa.string()), ("lower", pa.float64()),
-            ("upper", pa.float64()), ("n", pa.int64())]))
+            ("upper", pa.float64()), ("n", pa.int64()), ("remainder", pa.bool_())]))
     result = parts[0]
     for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        result = result.unionByName(part, allowMissingColumns=True)
+    return result.withColumn("remainder", F.coalesce("remainder", F.lit(False))) if "remainder" in result.columns else (
+        result.withColumn("remainder", F.lit(False)))

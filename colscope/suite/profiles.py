@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import univariate as uni
 from ..operators.distinct import distinct_counts
+from ..operators.frequent import frequent_values
 from ..operators.quantiles import approximate_quantiles, exact_quantiles
 from ..specs import CATEGORY, NUMBER, ColumnSpec, specs_of
 from .registry import query, r6, table
@@ -198,6 +199,21 @@ def histogram_of_categories(spark, folder):
     return uni.category_histogram(df, ["c_name", "c_mktsegment", "c_nationkey"]).select("column", "label", "n")
 
 
+_NAMED_OTHERS = """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'Others' ELSE c_mktsegment END AS kind, c_name,
+    c_custkey % 1000 AS code FROM customer"""
+
+
+@query("frequent_values_and_remainder", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", v AS value, sum(n)::bigint AS n, remainder FROM (
+        SELECT CASE WHEN rn < 3 THEN v END AS v, n, rn >= 3 AS remainder FROM (
+            SELECT cast({c} AS varchar) AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cast({c} AS varchar)) AS rn
+            FROM ({_NAMED_OTHERS}) GROUP BY 1)) GROUP BY ALL""" for c in ("kind", "c_name", "code")))
+def frequent_values_and_remainder(spark, folder):
+    """A value called like the remainder, texts that are all different, and few counters for many values."""
+    table(spark, folder, "customer").createOrReplaceTempView("customer")
+    return frequent_values(spark.sql(_NAMED_OTHERS), ["kind", "c_name", "code"], 2, counters=3).select("column", "value", "n", "remainder")
+
+
 @query("histogram_of_rare_categories", _categories_sql("events", "user_id", "ASC"))
 def histogram_of_rare_categories(spark, folder):
     return uni.category_histogram(table(spark, folder, "events"), ["user_id"], order="asc").select("column", "label", "n")

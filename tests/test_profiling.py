@@ -86,10 +86,10 @@ def numpy_quantiles(groups, probs):
     return {(k, p): float(np.quantile(v, p)) for k, v in groups.items() for p in probs}
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_quantiles_match_numpy(spark, monkeypatch, small):
-    """With the small-group rule off, 6,000-row groups go through sketch brackets."""
-    monkeypatch.setattr(qu, "_SMALL", small)
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_quantiles_match_numpy(spark, monkeypatch, most):
+    """With a low bound, 6,000-row groups go through sketch brackets, which are cut again."""
+    monkeypatch.setattr(qu, "MOST_ORDERED", most)
     rng = random.Random(3)
     groups = {
         "smooth": [rng.gauss(0, 1) for _ in range(6000)], "heavy": [rng.paretovariate(0.5) for _ in range(6000)],
