@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import on_driver, plain_names, renamed_values
+from ..session import on_driver, plain_names, quoted, renamed_values
 from ..specs import AUTO_DETECT, CATEGORY, DATE, NUMBER, PERCENTAGE, TEXT, ColumnSpec
 from .distinct import small_distinct_counts
 
@@ -183,9 +183,25 @@ def detect_new_types(df: DataFrame, specs: list[ColumnSpec], order_by: list[str]
     return infer_types(df, auto, SAMPLE_ROWS, order_by)
 
 
-def drop_ragged(lines: DataFrame, column: str, fields: int, separator: str = ",") -> DataFrame:
-    """Lines of a text scan that split into the expected number of fields."""
-    parts = F.split(F.col(column), f"\\Q{separator}\\E", -1)
-    return lines.filter(F.size(parts) == fields)
+def whole_line(column: str, fields: int, separator: str = ",", quote: str = '"') -> Column:
+    """Whether a line has the expected number of fields, by the CSV reader's own parse.
+
+    Separators inside quotes do not count, and a doubled quote stands for itself.  An empty line is one empty field, a
+    null is no line.
+    """
+    names = [f"f{i}" for i in range(fields)]
+    schema = ", ".join(f"{n} string" for n in [*names, "bad"])
+    options = {"sep": separator, "quote": quote, "escape": quote, "columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"}
+    line = F.col(quoted(column))
+    parsed = F.from_csv(line, schema, options)
+    return F.when(F.length(line) == 0, F.lit(fields == 1)).otherwise(parsed.isNotNull() & parsed["bad"].isNull())
+
+
+def drop_ragged(lines: DataFrame, column: str, fields: int, separator: str = ",", quote: str = '"') -> DataFrame:
+    """Lines of a text scan that hold the expected number of fields; see :func:`whole_line`."""
+    return lines.filter(whole_line(column, fields, separator, quote))
 
 
+def ragged_lines(lines: DataFrame, column: str, fields: int, separator: str = ",", quote: str = '"') -> DataFrame:
+    """The lines that :func:`drop_ragged` drops, null ones included."""
+    return lines.filter(~F.coalesce(whole_line(column, fields, separator, quote), F.lit(False)))

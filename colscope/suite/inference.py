@@ -149,3 +149,18 @@ def drop_ragged_lines(spark, folder):
     line = F.concat(F.concat_ws(",", "event_type", "user_id"), F.when(F.col("event_type") == "error", ",").otherwise(""))
     lines = table(spark, folder, "events").select("event_id", line.alias("line"))
     return inf.drop_ragged(lines, "line", 2).select("event_id")
+
+
+# Three fields: the user, a note that may hold separators and quotes, the type.
+_QUOTED_LINE = """user_id || ',"' || CASE event_id % 4 WHEN 0 THEN 'a, b' WHEN 1 THEN 'say ""no"", no' WHEN 2 THEN ',' ELSE '' END
+    || '",' || event_type || CASE WHEN event_id % 5 = 0 THEN ',' ELSE '' END"""
+
+
+@query("ragged_quoted_lines", f"""
+    SELECT event_id, len(string_split(regexp_replace(line, '"([^"]|"")*"', '', 'g'), ',')) = 3 AS whole
+    FROM (SELECT event_id, {_QUOTED_LINE} AS line FROM events)""")
+def ragged_quoted_lines(spark, folder):
+    """Lines with separators and quotes inside quoted fields: those kept, and the list of those dropped."""
+    lines = table(spark, folder, "events").select("event_id", F.expr(_QUOTED_LINE).alias("line"))
+    kept = inf.drop_ragged(lines, "line", 3).select("event_id", F.lit(True).alias("whole"))
+    return kept.unionByName(inf.ragged_lines(lines, "line", 3).select("event_id", F.lit(False).alias("whole")))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from colscope.operators import infer as inf
 from colscope.operators.infer import drop_ragged, infer_types, value_types
 
 VALUES = [
@@ -66,3 +67,14 @@ def test_numbers_and_their_text_agree(spark):
     floats = row.select("*", *[F.col(f"d{i}").cast("float").alias(f"f{i}") for i in range(len(fractions))])
     as_text = floats.select(*[F.col(c).cast("string") for c in floats.columns])
     assert sorted(infer_types(floats).collect()) == sorted(infer_types(as_text).collect())
+
+
+def test_ragged_lines_are_told_by_the_parse(spark):
+    lines = ["a,b,c", 'a,"b,c",d', 'a,"say ""hi, you""",c', "a,b", "a,b,c,d", "", None, ",,", '"","",""', 'a,"b,c', "a;b;c"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, `a.line` string")
+    kept = {r.i for r in inf.drop_ragged(df, "a.line", 3).collect()}
+    assert kept == {0, 1, 2, 7, 8}
+    assert {r.i for r in inf.ragged_lines(df, "a.line", 3).collect()} == set(range(len(lines))) - kept
+    assert {r.i for r in inf.drop_ragged(df, "a.line", 1).collect()} == {5, 10}
+    assert {r.i for r in inf.drop_ragged(df, "a.line", 3, ";").collect()} == {10}
+    assert inf.drop_ragged(df.limit(0), "a.line", 3).count() == 0
