@@ -86,21 +86,41 @@ def _path(node_id: int, links: dict) -> list[int]:
     return path
 
 
+def tree_table(spark: SparkSession, nodes: list[TreeNode], class_labels: list[str] | None = None) -> DataFrame:
+    """One row per node: tree, node_id, its children with the conditions that lead to them, and its outcome."""
+    rows = []
+    for n in nodes:
+        to_left, to_right = (None, None) if n.leaf else n.condition_texts()
+        outcome = class_labels[int(n.prediction)] if class_labels else str(n.prediction)
+        rows.append({"tree": n.tree, "node_id": n.id, "left_id": None if n.leaf else n.left, "to_left": to_left,
+                     "right_id": None if n.leaf else n.right, "to_right": to_right, "outcome": outcome})
+    kinds = {"tree": pa.int32(), "node_id": pa.int32(), "left_id": pa.int32(), "right_id": pa.int32()}
+    names = ("tree", "node_id", "left_id", "to_left", "right_id", "to_right", "outcome")
+    return small_table(spark, rows, pa.schema([(c, kinds.get(c, pa.string())) for c in names]))
+
+
+def node_paths(nodes: DataFrame) -> DataFrame:
+    """(tree, node_id, depth, rule) of every node of ``tree_table`` rows that its root (0) leads to.
+
+    The conditions on the way are joined level by level, for all trees at once.
+    """
+    return nodes.sparkSession.sql("""
+        WITH RECURSIVE links AS (
+          SELECT tree, node_id AS parent, left_id AS child, to_left AS condition FROM {nodes} WHERE left_id IS NOT NULL
+          UNION ALL SELECT tree, node_id, right_id, to_right FROM {nodes} WHERE right_id IS NOT NULL),
+        paths (tree, node_id, depth, rule) AS (
+          SELECT tree, node_id, 0, CAST('' AS STRING) FROM {nodes} WHERE node_id = 0
+          UNION ALL
+          SELECT p.tree, l.child, p.depth + 1, CASE WHEN p.depth = 0 THEN l.condition ELSE p.rule || ' AND ' || l.condition END
+          FROM paths p JOIN links l ON l.tree = p.tree AND l.parent = p.node_id)
+        SELECT * FROM paths""", nodes=nodes)
+
+
 def rules_table(spark: SparkSession, nodes: list[TreeNode], class_labels: list[str] | None = None) -> DataFrame:
     """One row per leaf: tree, node, depth, the conditions on its path, and the predicted value or class."""
-    rows = []
-    for tree in sorted({n.tree for n in nodes}):
-        members = [n for n in nodes if n.tree == tree]
-        links = _parents(members)
-        for n in members:
-            if n.leaf:
-                path = _path(n.id, links)
-                conditions = [links[i][1] for i in reversed(path) if i in links]
-                outcome = class_labels[int(n.prediction)] if class_labels else str(n.prediction)
-                rows.append({"tree": tree, "node_id": n.id, "depth": len(path) - 1,
-                             "rule": " AND ".join(conditions), "outcome": outcome})
-    return small_table(spark, rows, pa.schema([("tree", pa.int32()), ("node_id", pa.int32()), ("depth", pa.int32()),
-                                               ("rule", pa.string()), ("outcome", pa.string())]))
+    own = tree_table(spark, nodes, class_labels)
+    leaves = own.filter("left_id IS NULL").select("tree", "node_id", "outcome")
+    return node_paths(own).join(leaves, ["tree", "node_id"]).select("tree", "node_id", "depth", "rule", "outcome")
 
 
 def _node_rows(spark: SparkSession, nodes: list[TreeNode]) -> tuple[DataFrame, DataFrame]:

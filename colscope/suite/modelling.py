@@ -160,6 +160,37 @@ def _holes(spark, folder):
         F.nullif(F.col("l_discount"), F.lit(0.07)).alias("l_discount"))
 
 
+_NODE_VALUES = ", ".join(
+    f"({n.id}, {n.left if not n.leaf else 'NULL'}, {n.right if not n.leaf else 'NULL'}, "
+    + (f"'{n.feature}', {'NULL' if n.threshold is None else n.threshold}, "
+       f"{'NULL' if n.categories is None else list(n.categories)}, " if not n.leaf else "NULL, NULL, NULL, ")
+    + f"{n.prediction})" for n in TREE)
+
+
+@query("tree_rules_with_rows", f"""
+    WITH RECURSIVE nodes(id, l, r, feature, threshold, categories, prediction) AS (VALUES {_NODE_VALUES}),
+    links AS (
+      SELECT id, l AS child, CASE WHEN categories IS NULL THEN feature || ' <= ' || threshold::DOUBLE
+        ELSE feature || ' IN (' || array_to_string(list_transform(categories, lambda c: chr(39) || c || chr(39)), ',') || ')' END AS condition
+      FROM nodes WHERE l IS NOT NULL
+      UNION ALL
+      SELECT id, r, CASE WHEN categories IS NULL THEN feature || ' > ' || threshold::DOUBLE
+        ELSE feature || ' NOT IN (' || array_to_string(list_transform(categories, lambda c: chr(39) || c || chr(39)), ',') || ')' END
+      FROM nodes WHERE r IS NOT NULL),
+    paths(id, depth, rule) AS (
+      SELECT 0, 0, '' UNION ALL
+      SELECT child, depth + 1, CASE WHEN rule = '' THEN condition ELSE rule || ' AND ' || condition END FROM paths JOIN links USING (id)),
+    src AS ({HOLES_SQL}),
+    stops AS ({" UNION ALL ".join(f"SELECT {i} AS id, count(*) AS n FROM src WHERE {p}" for i, p in _PATHS.items())})
+    SELECT id AS node_id, depth, rule, ['a', 'b', 'c'][prediction + 1] AS outcome, n
+    FROM paths JOIN nodes USING (id) JOIN stops USING (id) WHERE l IS NULL""")
+def tree_rules_with_rows(spark, folder):
+    """The rules of a tree, by its node table alone, with the rows that end in each."""
+    rules = ex.rules_table(spark, TREE, ["a", "b", "c"])
+    stops = _holes(spark, folder).groupBy(ex.stop_node(TREE).alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.join(stops, "node_id", "left").select("node_id", "depth", "rule", "outcome", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("tree_node_class_counts", f"WITH src AS ({HOLES_SQL}) " + " UNION ALL ".join(
     f"""SELECT {i} AS node_id, l_returnflag AS label, count(*) AS n, round(count(*) * 100.0::double / (SELECT count(*) FROM src WHERE {p}), 6) AS percentage
         FROM src WHERE {p} GROUP BY 2""" for i, p in _PATHS.items()))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.clean import as_preview
+from ..operators.ranges import range_join
 from ..sources import register_views
 from .registry import query, table
 
@@ -149,3 +150,21 @@ def sql_rows_as_maps(spark, folder):
     rows = spark.sql("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM adhoc GROUP BY event_type")
     as_map = F.create_map(*[e for c in ("n", "users") for e in (F.lit(c), F.col(c).cast("string"))])
     return rows.select("event_type", F.explode(as_map))
+
+
+# A third of the points have one value, the others crowd near zero; bands lie side by side, and two reach far.
+_POINTS = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 100.0 ELSE o_totalprice / 1000.0 * o_totalprice / 1000.0 END AS x
+    FROM orders"""
+_BANDS = """SELECT c_custkey AS band, c_custkey * 3.0 AS lo, c_custkey * 3.0 + CASE WHEN c_custkey % 97 = 0 THEN 900.0 ELSE 2.5 END AS hi
+    FROM customer"""
+
+
+@query("range_join_skewed_points", f"""
+    SELECT band, count(*) AS points, sum(o_orderkey)::BIGINT AS keys
+    FROM ({_POINTS}) JOIN ({_BANDS}) ON x >= lo AND x < hi GROUP BY band""")
+def range_join_skewed_points(spark, folder):
+    """Points and the bands that hold them, over a grid by the points' own quantiles."""
+    register_views({n: table(spark, folder, n) for n in ("orders", "customer")})
+    points, bands = (spark.sql(q.replace(".0", ".0D").replace("2.5", "2.5D")) for q in (_POINTS, _BANDS))
+    pairs = range_join(points, bands, "x", "lo", "hi", closed=False)
+    return pairs.groupBy("band").agg(F.count(F.lit(1)).alias("points"), F.sum("o_orderkey").alias("keys"))

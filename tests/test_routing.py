@@ -2,12 +2,13 @@
 
 import random
 import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colscope.operators.explain import TreeNode, node_class_counts, node_report
+from colscope.operators.explain import TreeNode, node_class_counts, node_report, rules_table
 from colscope.operators.routing import NodeArrays, stop_node
 
 KINDS = ["red", "green", "blue", "", "grey"]
@@ -108,3 +109,23 @@ def _timed(run):
     start = time.perf_counter()
     run()
     return time.perf_counter() - start
+
+
+def test_rules_of_a_forest_follow_its_nodes(spark):
+    pick = random.Random(4)
+    forest = [[replace(n, tree=t, prediction=float(n.id)) for n in grown(pick, depth, 1)] for t, depth in enumerate((0, 3, 8))]
+    expected = set()
+    for nodes in forest:
+        by_id = {n.id: n for n in nodes}
+
+        def walk(n, path):
+            if n.leaf:
+                expected.add((n.tree, n.id, len(path), " AND ".join(path), str(float(n.id))))
+                return
+            left, right = n.condition_texts()
+            walk(by_id[n.left], [*path, left])
+            walk(by_id[n.right], [*path, right])
+
+        walk(by_id[0], [])
+    found = rules_table(spark, [n for nodes in forest for n in nodes]).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
