@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import bivariate as bi
 from ..operators import catalog as cat
 from ..operators import split
+from ..operators import stored
 from ..operators import univariate as uni
+from ..session import shared_folder
 from ..specs import specs_of
 from .registry import draws_sql, query, r6, table
 
@@ -174,3 +176,29 @@ def bernoulli_sample(spark, folder):
 def bernoulli_sample_keys(spark, folder):
     """Sampling is the feature: which rows are in a tenth follows from their keys alone."""
     return split.bernoulli_sample(table(spark, folder, "orders"), 0.1, 7, ["o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("stored_summary_upsert", """
+    SELECT 'l_quantity' AS "column", 60.0::double AS max, (SELECT count(*) FROM lineitem) AS rows
+    UNION ALL SELECT 'l_discount', max(l_discount), count(*) FROM lineitem""")
+def stored_summary_upsert(spark, folder):
+    """A stored summary: one column computed again, one dropped, one left as it lies."""
+    df = table(spark, folder, "lineitem").select("l_quantity", "l_tax", "l_discount")
+    path = shared_folder(spark, "stored-summary")
+    kept = uni.summarize(df, specs_of(df), exact=False).select("column", "max", "rows")
+    stored.store_keys(kept, path, "column")
+    changed = df.select((F.col("l_quantity") + 10).alias("l_quantity"))
+    stored.store_keys(uni.summarize(changed, specs_of(changed), exact=False).select("column", "max", "rows"), path, "column")
+    stored.drop_keys(spark, path, "column", kept.schema, ["l_tax"])
+    return stored.stored_keys(spark, path, "column", kept.schema)
+
+
+@query("ranked_page_deep", """
+    SELECT * REPLACE (nullif(o_orderpriority, '3-MEDIUM') AS o_orderpriority) FROM orders
+    ORDER BY nullif(o_orderpriority, '3-MEDIUM') DESC NULLS LAST, o_totalprice, o_orderkey LIMIT 70 OFFSET 700""")
+def ranked_page_deep(spark, folder):
+    """A page is the feature: the eleventh of 70 rows in an order of text with nulls, numbers and keys."""
+    df = table(spark, folder, "orders").withColumn("o_orderpriority", F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")))
+    path = shared_folder(spark, "ranks")
+    stored.write_rank_index(df, path, [F.desc_nulls_last("o_orderpriority"), "o_totalprice", "o_orderkey"], 300)
+    return stored.ranked_page(spark, path, 11, 70)
