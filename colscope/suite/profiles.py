@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import additive
 from ..operators import univariate as uni
 from ..operators.distinct import distinct_counts
 from ..operators.frequent import frequent_values
 from ..operators.quantiles import approximate_quantiles, exact_quantiles
+from ..session import shared_folder
 from ..specs import CATEGORY, NUMBER, ColumnSpec, specs_of
 from .registry import query, r6, table
 
@@ -243,3 +245,26 @@ def number_columns_with_few_values(spark, folder):
     df = table(spark, folder, "lineitem").select("l_linenumber", "l_tax", "l_orderkey")
     numbers = [ColumnSpec(c, NUMBER, i) for i, c in enumerate(df.columns)]
     return uni.summarize(df, numbers).filter(F.col("distinct") <= uni.MAX_VALUES_AS_BINS).select("column", "distinct")
+
+
+@query("summary_added_up", """
+    SELECT "column", rows, missing, mean, stddev, min, max, true AS distinct_near, true AS median_near FROM (
+        """ + " UNION ALL ".join(f"""
+        SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, round(avg({x}), 6) AS mean,
+               round(stddev_samp({x}), 6) AS stddev, min({x})::double AS min, max({x})::double AS max
+        FROM ({HOLES_SQL})""" for c, x in (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"),
+                                           ("l_tax", "l_tax"), ("l_returnflag", "NULL::double"))) + ")")
+def summary_added_up(spark, folder):
+    """The profile of three parts of a table, added up in storage: exact but for sketches, which are held to their bounds."""
+    df = with_holes(spark, folder).select("l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_orderkey")
+    specs = specs_of(df.drop("l_orderkey"), ("l_returnflag",))
+    path = shared_folder(spark, "profile")
+    for k in range(3):
+        rows = additive.finished(additive.add_rows(spark, path, df.filter(F.col("l_orderkey") % 3 == k), specs))
+    whole = uni.summarize(df.drop("l_orderkey"), specs).select("column", F.col("distinct").alias("d"), F.col("median").alias("m"))
+    ranks = df.agg(F.array(*[F.struct(F.lit(s.name).alias("column"), F.percentile_approx(
+        F.col(s.name).try_cast("double"), [0.48, 0.52], 10_000).alias("ends")) for s in specs if s.numeric]).alias("e")).select(F.inline("e"))
+    both = rows.join(whole, "column").join(ranks, "column", "left")
+    near = F.coalesce(F.col("median").between(F.col("ends")[0], F.col("ends")[1]), F.col("m").isNull())
+    return both.select("column", "rows", "missing", r6("mean"), r6("stddev"), "min", "max",
+                       (F.abs(F.col("distinct") - F.col("d")) <= 0.05 * F.col("d") + 1).alias("distinct_near"), near.alias("median_near"))
