@@ -69,7 +69,7 @@ _GAP = "1 + least(floor(ln(u) / ln(1 - rate)), 20)::INTEGER"
 @query("isolation_forest_sample", f"""
     WITH r AS (SELECT 256 / count(*) AS rate FROM lineitem),
     first AS (
-      SELECT {", ".join(_KEYS)} FROM ({draws_sql("SELECT *, 1 AS step FROM lineitem", _DRAWN)}), r WHERE {_GAP} <= 20),
+      SELECT DISTINCT {", ".join(_KEYS)} FROM ({draws_sql("SELECT *, 1 AS step FROM lineitem", _DRAWN)}), r WHERE {_GAP} <= 20),
     gap AS (
       SELECT *, {_GAP} AS g FROM ({draws_sql("SELECT * FROM first, range(1, 21) s(step)", _DRAWN)}), r),
     walk AS (SELECT *, sum(g) OVER (PARTITION BY {", ".join(_KEYS)} ORDER BY step) AS place FROM gap)
