@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import on_driver, shared_folder
 
-MOST_ORDERED = 100_000
+MOST_ORDERED = 20_000
 _ACCURACY = 2_000
 _MARGIN = 2.5 / _ACCURACY
 # Fewer values than these are closer to each other in rank than the margins.
