@@ -5,6 +5,8 @@ The order of n-grams is that of their 64-bit fingerprints, and cutting it into r
 1. *Candidates.* Sets of similar sizes that differ in at most D n-grams agree in at least one of D + 1 fragments, so
    sets are filed under the fingerprint of each fragment.  In each file one set, the one whose fragments are the most
    common, is the hub, and only pairs of hub and member go on: a number linear in the members, however large a group.
+   Some fragments are spare, so linked sets agree in several, and each set leaves as many of its most crowded files as
+   it can without losing one of them: passages that many sets share crowd few files, and these are the ones left.
 2. *Counting.* The overlap of a pair is counted fragment by fragment and summed per pair; what differs is kept.
 3. *Pairs of members.* Two members x and y of a hub differ in the symmetric difference of their differences X and Y
    from it.  If both are linked to the hub they need no link of their own.  If y is not, a link to x needs more than
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from .common import LOWER, annotate, named, on_workers, slices, written
 
 FRAGMENTS = 8
+_CLASSES = 8  # a mark's low bits tell its class of sizes among the few neighbouring ones that a set is filed in
 MAX_BROADCAST_ROWS = 1_000_000
 _KNOWN_WORDS = 300_000
 # Odd multipliers and the finaliser of splitmix64.
@@ -61,7 +64,7 @@ class Jaccard:
     def files(self, n: int) -> list[tuple[int, int, int]]:
         """(class of sizes, fragments, spare ones) that a set of ``n`` is filed in; linked sets always meet in one."""
         each = [(k, self.most_different(2 * high)) for k, high in self.classes(n)]
-        return [(k, most + 1 + most // 20, most // 20) for k, most in each if most]  # else only equal sets are linked
+        return [(k, most + 1 + most // 4, most // 4) for k, most in each if most]  # else only equal sets are linked
 
     def reach(self, n: int, high: int) -> int:
         """Largest difference of a set of ``n`` from linked ones of at most ``high``.
@@ -114,9 +117,13 @@ def set_digest(grams: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def fragment_marks(grams: np.ndarray, rule: Jaccard) -> np.ndarray:
-    """Fingerprints of the fragments a set is filed under."""
-    out = []
+def fragment_marks(grams: np.ndarray, rule: Jaccard) -> tuple[np.ndarray, list[int]]:
+    """Fingerprints of the fragments a set is filed under, and by class how many of them it may leave.
+
+    A linked set agrees in all but ``reach`` of the full fragments.  If both leave less than half of the others, one is
+    left that both keep.  Sets filed under empty fragments leave none, as others need not be filed there.
+    """
+    out, spare = [], [0] * _CLASSES
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(grams ^ _ODD[5]))])
         highs = dict(rule.classes(len(grams)))
@@ -125,8 +132,11 @@ def fragment_marks(grams: np.ndarray, rule: Jaccard) -> np.ndarray:
             cuts = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
             place = np.arange(parts, dtype=np.uint64) * _ODD[6] + np.uint64(k) * _ODD[7]
             marks, full = _mixed(sums[cuts[1:]] - sums[cuts[:-1]] + place), cuts[1:] > cuts[:-1]
-            out.append(marks[full] if full.sum() > rule.reach(len(grams), highs[k]) else marks)
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            reach = rule.reach(len(grams), highs[k])
+            if full.sum() > reach:
+                marks, spare[k % _CLASSES] = marks[full], int(full.sum() - reach - 1) // 2
+            out.append(marks & ~np.uint64(_CLASSES - 1) | np.uint64(k % _CLASSES))
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64), spare
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -136,11 +146,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def described(docs: DataFrame, rule: Jaccard, id: str, text: str, marks: bool) -> DataFrame:
-    """(id, n, a, b[, marks]) of every row: size and digest of its set, and what it is filed under."""
+    """(id, n, a, b[, marks, spare]) of every row: size and digest of its set, what it is filed under and may leave."""
     fields = [T.StructField("id", docs.schema[id].dataType), T.StructField("n", T.LongType()),
               T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
     if marks:
         fields.append(T.StructField("marks", T.ArrayType(T.LongType())))
+        fields.append(T.StructField("spare", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         for batch in batches:
@@ -150,7 +161,8 @@ def described(docs: DataFrame, rule: Jaccard, id: str, text: str, marks: bool) -
                 columns = [part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                            pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64())]
                 if marks:
-                    columns.append(_lists([fragment_marks(s, rule) for s in sets]))
+                    filed = [fragment_marks(s, rule) for s in sets]
+                    columns += [_lists([m for m, _ in filed]), pa.array([s for _, s in filed], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     own = docs.select(named(text).cast("string").alias("t"), named(id).alias("id"))
@@ -158,10 +170,15 @@ def described(docs: DataFrame, rule: Jaccard, id: str, text: str, marks: bool) -
 
 
 def _files(classes: DataFrame) -> DataFrame:
-    """(mark, c, size) of all files with two classes or more."""
+    """(mark, c, size) of all files with two classes or more, without the most crowded ones that classes may leave."""
     filed = classes.select(F.explode("marks").alias("mark"), "c")
-    own = Window.partitionBy("mark")
-    return filed.withColumn("size", F.count(F.lit(1)).over(own)).filter(F.col("size") > 1)
+    size = F.count(F.lit(1)).over(Window.partitionBy("mark"))
+    filed = filed.withColumn("size", size).filter(F.col("size") > 1)
+    kind = F.pmod("mark", F.lit(_CLASSES)).cast("int")
+    crowded = Window.partitionBy("c", "kind").orderBy(F.desc("size"), "mark")
+    ranked = filed.withColumn("kind", kind).withColumn("rank", F.row_number().over(crowded))
+    kept = ranked.join(classes.select("c", "spare"), "c").filter(F.col("rank") > F.col("spare")[F.col("kind")])
+    return kept.select("mark", "c", "size")
 
 
 def _hub_pairs(files: DataFrame) -> DataFrame:
@@ -226,9 +243,11 @@ def _member_links(differences: DataFrame, rule: Jaccard) -> DataFrame:
     needed = F.ceil((F.col("d") + 1 - slack) / 2)
     # Of the n-grams in order of their members, the first ``prefix``; those of one member come first and meet nobody.
     prefix = (F.col("d") - needed + 1).alias("prefix")
-    each = members.select("hub", "c", "linked", prefix, F.size("other").alias("size"), F.explode("other").alias("g"))
+    each = members.select("hub", "c", F.explode("other").alias("g"))
     counts = each.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1)
-    shared = each.join(counts, ["hub", "g"])
+    # Few n-grams are shared, so what is known of members joins them here, where ranks need them side by side anyway.
+    known = members.select("hub", "c", "linked", prefix, F.col("d").alias("size"))
+    shared = each.join(counts, ["hub", "g"]).join(known, ["hub", "c"])
     own = Window.partitionBy("hub", "c")
     rank = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("seen", "g"))
     shared = shared.withColumn("first", rank <= F.col("prefix"))
@@ -289,7 +308,7 @@ def similar_sets(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc_id
     key = F.struct(F.col("id").isNull().alias("missing"), "id", "r")
     classes = numbered.filter("n > 0").groupBy("a", "b", "n").agg(F.min(key).alias("top"))
     classes = written(classes.select(F.col("top.r").alias("c"), "top.id", "n", "a", "b"), "classes")
-    filed = numbered.select(F.col("r").alias("c"), "marks").join(classes.select("c").hint("merge"), "c", "left_semi")
+    filed = numbered.select(F.col("r").alias("c"), "marks", "spare").join(classes.select("c").hint("merge"), "c", "left_semi")
     files = written(_files(filed), "files")
     pairs = written(_hub_pairs(files), "pairs")
     wanted = classes.join(pairs.select("c").unionAll(pairs.select("hub")).distinct(), "c", "left_semi")

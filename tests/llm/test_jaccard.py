@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from colscope.llm import jaccard
-from colscope.llm.jaccard import Jaccard, components, drop_near_duplicates, near_duplicates
+from colscope.llm.jaccard import Jaccard, components, drop_near_duplicates, fragment_marks, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,6 +91,27 @@ def test_files_meet_for_all_linked_sizes():
                 assert any(f - m > rule.most_different(a + b) for _, (f, m) in shared)
 
 
+@pytest.mark.parametrize("rule", [Jaccard(), Jaccard(5, 80, 100)], ids=str)
+def test_linked_sets_meet_whatever_they_leave(rule):
+    pick = np.random.default_rng(5)
+    left = 0
+    for n in (2, 3, 7, 20, 61, 150, 299, 450, 900):
+        for _ in range(60):
+            grams = np.unique(pick.integers(0, 2**64, n, dtype=np.uint64))
+            gone = pick.integers(0, n // 5 + 1)
+            new = pick.integers(0, 2**64, pick.integers(0, n // 5 + 1), dtype=np.uint64)
+            other = np.unique(np.concatenate([pick.permutation(grams)[gone:], new]))
+            both = len(np.intersect1d(grams, other))
+            if rule.den * both < rule.num * (len(grams) + len(other) - both) or not rule.most_different(len(grams) + len(other)):
+                continue
+            marks, spare = zip(*[fragment_marks(x, rule) for x in (grams, other)])
+            common = np.intersect1d(*marks)
+            by_class = [(common % 8 == k).sum() - spare[0][k] - spare[1][k] for k in range(8)]
+            assert max(by_class) > 0
+            left += sum(spare[0])
+    assert left > 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
