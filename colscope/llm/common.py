@@ -51,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def emptied(table: DataFrame) -> None:
+    """Overwrite a ``written`` table with no rows, once all that was made of it is written too."""
+    files = table.inputFiles()
+    if files:
+        none = table.sparkSession.createDataFrame([], table.schema)
+        none.write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def slices(batch: pa.RecordBatch, column: int = 0, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``most_bytes`` in one text column, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, annotate, named, on_workers, slices, written
+from .common import LOWER, annotate, emptied, named, on_workers, slices, written
 
 FRAGMENTS = 8
 _CLASSES = 8  # a mark's low bits tell its class of sizes among the few neighbouring ones that a set is filed in
@@ -303,13 +303,14 @@ def similar_sets(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc_id
     The links connect exactly the classes that the join of all pairs connects.
     """
     rule = rule or Jaccard()
-    rows = written(described(docs, rule, id, text, True), "sets")
-    numbered = rows.withColumn("r", F.monotonically_increasing_id())  # fixed: the table is read in a fixed order
+    numbered = written(described(docs, rule, id, text, True).withColumn("r", F.monotonically_increasing_id()), "sets")
+    rows = written(numbered.select("id", "n", "a", "b"), "rows")
     key = F.struct(F.col("id").isNull().alias("missing"), "id", "r")
     classes = numbered.filter("n > 0").groupBy("a", "b", "n").agg(F.min(key).alias("top"))
     classes = written(classes.select(F.col("top.r").alias("c"), "top.id", "n", "a", "b"), "classes")
     filed = numbered.select(F.col("r").alias("c"), "marks", "spare").join(classes.select("c").hint("merge"), "c", "left_semi")
     files = written(_files(filed), "files")
+    emptied(numbered)  # marks are most of what is held, and no longer needed
     pairs = written(_hub_pairs(files), "pairs")
     wanted = classes.join(pairs.select("c").unionAll(pairs.select("hub")).distinct(), "c", "left_semi")
     fragments = _fragments(docs, wanted.select("c", "id", "a", "b"), rule, id, text)
@@ -320,8 +321,9 @@ def similar_sets(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc_id
     total = F.col("n") + F.col("hub_n")
     differences = summed.withColumn("linked", _linked(F.col("overlap"), total, rule)).withColumn("d", total - 2 * F.col("overlap"))
     differences = written(differences, "differences")
+    emptied(counted)
     links = differences.filter("linked").select(F.col("hub").alias("u"), F.col("c").alias("v"))
-    return rows.select("id", "n", "a", "b"), classes, links.unionAll(_member_links(differences, rule))
+    return rows, classes, links.unionAll(_member_links(differences, rule))
 
 
 def near_duplicates(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
