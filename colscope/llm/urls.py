@@ -53,11 +53,11 @@ def pattern_table(spark: SparkSession, patterns: list[str]) -> DataFrame:
 
 def _regex(pattern: Column) -> Column:
     """The pattern as a regular expression over a lower-case URL."""
-    out = F.regexp_replace(pattern, r"([.+?(){}\[\]\\$-])", r"\\$1")
+    out = F.regexp_replace(F.translate(pattern, "^", "\x01"), r"([.+?(){}\[\]\\$-])", r"\\$1")
+    out = F.regexp_replace(out, r"\*", ".*")
     out = F.regexp_replace(out, r"^\|\|", "^[^/]*://([^/?#]*[.])?")
     out = F.regexp_replace(F.regexp_replace(out, r"^\|", "^"), r"\|$", r"\$")
-    out = F.regexp_replace(out, r"\*", ".*")
-    return F.regexp_replace(out, r"(?<!^|\[)\^(?!\[)", "([^a-z0-9._%-]|\\$)")
+    return F.regexp_replace(out, "\x01", "([^a-z0-9._%-]|\\$)")
 
 
 def _tokens(pattern: Column) -> Column:

@@ -54,6 +54,15 @@ def test_partial_tokens_are_not_used(spark):
     assert {r.url for r in match_patterns(pages, pattern_table(spark, ["part"])).collect()} == {r.url for r in pages.collect()}
 
 
+def test_separators_fit_at_either_end_and_hosts_end_at_the_path(spark):
+    pages = spark.createDataFrame(list(enumerate(["http://a.net/q?ads=1", "http://a.net/zz/ads?x", "http://a.net/ads", "http://a.net/xads/",
+                                                  "http://x.host.net/", "http://host.net/", "http://a.net/x.host."])), "page_id long, url string")
+    found = {(r.url, r.pattern) for r in match_patterns(pages, pattern_table(spark, ["^ads^"])).collect()}
+    assert {u for u, _ in found} == {"http://a.net/q?ads=1", "http://a.net/zz/ads?x", "http://a.net/ads"}
+    found = {r.url for r in match_patterns(pages, pattern_table(spark, ["||host."])).collect()}
+    assert found == {"http://x.host.net/", "http://host.net/"}
+
+
 def test_shuffled_index_gives_the_same(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(SAMPLES)), "page_id long, url string")
     rules = pattern_table(spark, urls.PATTERNS)
