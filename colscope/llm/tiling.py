@@ -101,22 +101,19 @@ def _matches(item, doc, used_item, used_doc, size):
     """Matches of ``size`` words or more, longest first; the caller marks each before it asks for the next."""
     if len(item) < size or len(doc) < size:
         return
-    hashes = rolling(item, size)
-    by_hash: dict[int, list[int]] = {}
-    for i in np.flatnonzero(_free(used_item, size)).tolist():
-        by_hash.setdefault(int(hashes[i]), []).append(i)
-    theirs = rolling(doc, size)
-    wanted = np.fromiter(by_hash, np.uint64, len(by_hash))
-    found = np.flatnonzero(_free(used_doc, size) & np.isin(theirs, wanted)).tolist()
-    queue, ahead = [], {}
-    for j in found:
-        for i in by_hash[int(theirs[j])]:
-            if ahead.get(j - i, -1) >= i:
-                continue  # inside a match that began earlier on this diagonal
-            n = _run(item, doc, used_item, used_doc, i, j, len(item))
+    hashes, theirs = rolling(item, size), rolling(doc, size)
+    ours = np.flatnonzero(_free(used_item, size))
+    found = np.flatnonzero(_free(used_doc, size) & np.isin(theirs, hashes[ours]))
+    found = found[np.argsort(theirs[found], kind="stable")]
+    keys, queue = theirs[found], []
+    for i in ours.tolist():
+        j = found[np.searchsorted(keys, hashes[i]):np.searchsorted(keys, hashes[i], "right")]
+        if i and not used_item[i - 1]:  # a match that began earlier on its diagonal is left to its beginning
+            j = j[(j == 0) | used_doc[j - 1] | (doc[j - 1] != item[i - 1])]
+        for at in j.tolist():
+            n = _run(item, doc, used_item, used_doc, i, at, len(item))
             if n >= size:
-                ahead[j - i] = i + n - size
-                queue.append((-n, j, i))
+                queue.append((-n, at, i))
     heapq.heapify(queue)
     while queue:
         n, j, i = heapq.heappop(queue)
@@ -124,6 +121,8 @@ def _matches(item, doc, used_item, used_doc, size):
         own = _run(item, doc, used_item, used_doc, i, j, n)
         if own == n:
             yield n, i, j
+            if not _free(used_item, size).any():
+                return
             continue
         k = 0
         while k < n:  # the parts that are still free wait with their own length

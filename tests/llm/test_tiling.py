@@ -85,3 +85,13 @@ def test_empty_sides(odd_docs, no_docs, items):
     assert contamination(odd_docs, items.limit(0)).count() == 0
     assert drop_contaminated(odd_docs, items.limit(0)).count() == odd_docs.count()
     assert drop_contaminated(odd_docs, items).columns == odd_docs.columns
+
+
+def test_long_texts_of_one_word():
+    """Matches are taken up where they begin on their diagonal, so equal words do not start one each."""
+    rule = Tiling()
+    block = Block([(0, "ha " * 200), (1, " ".join(f"w{i}" for i in range(40)))], rule)
+    for n in (150, 200, 300_000):
+        assert block.leaks("ha " * n) == [(0, 200, min(n, 200), 1, min(n, 200))]
+    pieces = " - ".join(["ha " * 30 + f"z{i}" for i in range(2_000)])
+    assert block.leaks(pieces) == [(0, 200, 200, 7, 30)]
