@@ -34,11 +34,13 @@ _KNOWN_WORDS = 300_000
 class Field:
     """The model's size and training.
 
-    It is fitted on at most ``per_class`` toxic and as many clean labelled documents, those with the smallest hashes.
+    It is fitted on at most ``per_class`` toxic and as many clean labelled documents, those with the smallest hashes, and
+    of these on no more whole texts of each kind than ``most_bytes`` hold; a text that does not fit in is passed over.
     A stem marks tokens if it is in that share of the toxic ones, and in two, with four words.
     """
 
     per_class: int = 1000
+    most_bytes: int = 16 << 20
     bits: int = 18
     iterations: int = 40
     rate: float = 0.5
@@ -302,15 +304,24 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Field, id: str, text: str, lab
         part = own.filter(F.col("y") == value).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rule.per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select(named(id).alias("id"), named(text).cast("string").alias("t")).join(F.broadcast(chosen), "id")
+    texts = texts.filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= rule.most_bytes)
     sample = texts.groupBy("id", "y").agg(F.min("t").alias("t")).select("y", "t", F.xxhash64(F.col("id").cast("string")).alias("k"))
 
     def run(batches):
-        rows = sorted((k, y, t or "") for b in batches
-                      for y, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-        model = train([tokens(t) for _, _, t in rows], [y == 1 for _, y, _ in rows], rule) if rows else Model(rule)
+        texts, toxic, left = [], [], {1: rule.most_bytes, 0: rule.most_bytes}
+        for b in batches:
+            for part in slices(b, 1):
+                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    size = len((t or "").encode())
+                    if size <= left[y]:
+                        left[y] -= size
+                        texts.append(tokens(t))
+                        toxic.append(y == 1)
+        model = train(texts, toxic, rule) if texts else Model(rule)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    row = on_workers(sample.repartition(1)).mapInArrow(run, "model binary").first()
+    sample = sample.repartition(1).sortWithinPartitions("k", "y", F.coalesce("t", F.lit("")))
+    row = on_workers(sample).mapInArrow(run, "model binary").first()
     return pickle.loads(row["model"]) if row else Model(rule)
 
 

@@ -89,3 +89,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
         assert all(r.spans == "" and r.n_toxic == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert toxicity(no_docs, labels).count() == 0
+
+
+def test_the_fit_is_bounded_by_bytes(spark):
+    """Texts that do not fit in are passed over whole, however many there are; they are scored all the same."""
+    docs, labels = made(250)
+    long = [(1000 + i, "mist grob " * 20_000) for i in range(5)]
+    d = spark.createDataFrame(docs + long, "doc_id long, text string")
+    rule, kind = Field(most_bytes=100_000), "doc_id long, toxic int"
+    one = toxicity(d, spark.createDataFrame(labels + [(i, i % 2) for i, _ in long], kind), rule)
+    two = toxicity(d, spark.createDataFrame(labels, kind), rule)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    few = toxicity(d, spark.createDataFrame(labels, kind), Field(most_bytes=2_000)).collect()
+    assert len(few) == len(docs) + len(long) and all(0 <= r.score <= 1 for r in few)
