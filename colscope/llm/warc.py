@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder
-from .common import named, on_workers
+from .common import named, on_workers, written
 
 # The alphabet of base32, and the record separator and profile of the format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -234,8 +234,11 @@ def capture_histories(runs: DataFrame, per_range: int = 50_000) -> DataFrame:
 
 
 def archived_pages(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and return the capture histories read back from them."""
+    """Write ``pages`` to archives in the shared folder and return the capture histories read back from them.
+
+    Archives are read once: their runs are kept as a table, which is counted, cut into ranges and merged.
+    """
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
     write_archives(pages, folder, id, url, payload, least)
-    return capture_histories(capture_runs(spark, folder))
+    return capture_histories(written(capture_runs(spark, folder), "capture-runs"))
