@@ -114,12 +114,15 @@ class Vocabulary:
 
 
 class Gru:
-    """Parameters as one vector: input table, recurrent weights, class and word outputs."""
+    """Parameters as one vector: input table, recurrent weights, class and word outputs.
+
+    The update gate, reset gate and proposal lie one behind the other, so each is one piece of memory to numpy.
+    """
 
     def __init__(self, rule: Recurrent, vector: np.ndarray | None = None, frequency: np.ndarray | None = None):
         h, c, s = rule.hidden, rule.classes, rule.per_class
         self.rule = rule
-        shapes = {"x": (c * s, 3 * h), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (c, h, s), "bw": (c, s)}
+        shapes = {"x": (3, c * s, h), "u": (3, h, h), "wc": (h, c), "bc": (c,), "ww": (c, h, s), "bw": (c, s)}
         size = sum(math.prod(v) for v in shapes.values())
         self.vector = np.zeros(size, np.float32) if vector is None else np.array(vector, np.float32)
         self.p = self.views(self.vector, shapes)
@@ -141,63 +144,76 @@ class Gru:
             at += n
         return out
 
-    def step(self, symbols: np.ndarray, h: np.ndarray):
-        """The next state, with what its gradient needs."""
-        n = self.rule.hidden
-        x, g = self.p["x"].take(symbols, 0), h @ self.p["u"]
-        gates = g[:, :2 * n] + x[:, :2 * n]
+    def step(self, symbols: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after reading one more symbol in every lane."""
+        out = np.empty_like(h)
+        self.advance(self.p["x"].take(symbols, 1), h, np.empty((3, *h.shape), np.float32), np.empty_like(h), out)
+        return out
+
+    def advance(self, x: np.ndarray, h: np.ndarray, g: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+        """Write the next state to ``out``, both gates and the proposal's recurrent part to ``g``, the proposal to ``new``."""
+        np.matmul(h, self.p["u"], out=g)
+        gates = g[:2]
+        gates += x[:2]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        z, r = gates[:, :n], gates[:, n:]
-        new = r * g[:, 2 * n:]
-        new += x[:, 2 * n:]
-        new *= -2
-        np.exp(new, out=new)
-        new += 1
-        np.divide(2, new, out=new)
-        new -= 1
-        out = h - new
-        out *= z
+        np.multiply(g[1], g[2], out=new)
+        new += x[2]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= g[0]
         out += new
-        return out, z, r, new, g[:, 2 * n:]
 
     def outputs(self, h: np.ndarray, targets: np.ndarray, weights: np.ndarray | None = None):
         """Natural log probability of each target; with weights also the gradients of their weighted loss."""
-        s = self.rule.per_class
+        c, s = self.rule.classes, self.rule.per_class
+        order = np.argsort((targets // s).astype(np.int16), kind="stable")  # classes side by side
+        h, targets = h[order], targets[order]
         classes, words = targets // s, targets % s
         rows = np.arange(len(h))
-        logits = np.minimum(h @ self.p["wc"] + self.p["bc"], _MOST)
-        picked = logits[rows, classes]
+        at, by_class = rows * c + classes, np.ones(c, np.float32)
+        logits = h @ self.p["wc"]
+        logits += self.p["bc"]
+        np.minimum(logits, _MOST, out=logits)
+        picked = logits.take(at)
         e = np.exp(logits, out=logits)
-        total = e.sum(1)
+        total = e @ by_class
         logp = picked - np.log(total)
         if weights is not None:
-            d = e / total[:, None]
-            d[rows, classes] -= 1
-            d *= weights[:, None]
-            grads = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros(self.shapes["ww"], np.float32),
+            weights = weights[order]
+            e *= (weights / total)[:, None]
+            e.reshape(-1)[at] -= weights
+            grads = {"wc": h.T @ e, "bc": e.sum(0), "ww": np.zeros(self.shapes["ww"], np.float32),
                      "bw": np.zeros(self.shapes["bw"], np.float32)}
-            dh = d @ self.p["wc"].T
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.rule.classes + 1))
-        for c in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            own = order[cuts[c]:cuts[c + 1]]
-            ho = h[own]
-            logits = np.minimum(ho @ self.p["ww"][c] + self.p["bw"][c], _MOST)
-            at = rows[:len(own)]
-            picked = logits[at, words[own]]
+            dh = e @ self.p["wc"].T
+        at, by_word = rows * s + words, np.ones(s, np.float32)
+        cuts = np.searchsorted(classes, np.arange(c + 1)).tolist()
+        for k, (start, stop) in enumerate(zip(cuts, cuts[1:])):
+            if start == stop:
+                continue
+            ho, own = h[start:stop], at[start:stop] - start * s
+            logits = ho @ self.p["ww"][k]
+            logits += self.p["bw"][k]
+            np.minimum(logits, _MOST, out=logits)
+            picked = logits.take(own)
             e = np.exp(logits, out=logits)
-            total = e.sum(1)
-            logp[own] += picked - np.log(total)
+            total = e @ by_word
+            picked -= np.log(total)
+            logp[start:stop] += picked
             if weights is not None:
-                d = e / total[:, None]
-                d[at, words[own]] -= 1
-                d *= weights[own, None]
-                grads["ww"][c], grads["bw"][c] = ho.T @ d, d.sum(0)
-                dh[own] += d @ self.p["ww"][c].T
-        return logp if weights is None else (logp, dh, grads)
+                e *= (weights[start:stop] / total)[:, None]
+                e.reshape(-1)[own] -= weights[start:stop]
+                grads["ww"][k], grads["bw"][k] = ho.T @ e, e.sum(0)
+                dh[start:stop] += e @ self.p["ww"][k].T
+        found = np.empty_like(logp)
+        found[order] = logp
+        if weights is None:
+            return found
+        back = np.empty_like(dh)
+        back[order] = dh
+        return found, back, grads
 
     def score(self, texts: list[np.ndarray], lanes: int = 512, window: int = 64) -> np.ndarray:
         """log10 probability of every sequence of symbols.
@@ -211,26 +227,25 @@ class Gru:
             own = order[at:at + lanes]
             lengths = np.array([len(texts[i]) for i in own])
             h = np.zeros((len(own), self.rule.hidden), np.float32)
-            last = np.full(len(own), END, np.int16)
+            last = np.full(len(own), END, np.int64)
             sums = np.zeros(len(own))
             for start in range(0, int(lengths[0]), window):
                 steps = min(window, int(lengths[0]) - start)
                 live = int((lengths > start).sum())
-                block = np.zeros((steps, live), np.int16)
+                lanes_first = np.zeros((live, steps), np.int64)
                 for k in range(live):
                     piece = texts[own[k]][start:start + steps]
-                    block[:len(piece), k] = piece
+                    lanes_first[k, :len(piece)] = piece
+                block = np.ascontiguousarray(lanes_first.T)
                 states, targets, owners = [], [], []
-                for t in range(steps):
-                    live = int(np.searchsorted(-lengths, -(start + t)))
+                for live in np.searchsorted(-lengths, -np.arange(start, start + steps)).tolist():
                     if not live:
                         break
-                    h[:live] = self.step(last[:live], h[:live])[0]
-                    last[:live] = block[t, :live]
-                    states.append(h[:live].copy())
-                    targets.append(block[t, :live])
+                    h, last = self.step(last[:live], h[:live]), block[len(states), :live]
+                    states.append(h)
+                    targets.append(last)
                     owners.append(np.arange(live))
-                logp = self.outputs(np.concatenate(states), np.concatenate(targets).astype(np.int64))
+                logp = self.outputs(np.concatenate(states), np.concatenate(targets))
                 sums += np.bincount(np.concatenate(owners), logp, len(own))
             out[own] = sums / math.log(10)
         return out
@@ -269,39 +284,49 @@ class Gru:
             # Lanes that have run out, as all but one do beside a long last text, are left out of the work.
             live = np.flatnonzero(weight.any(0))
             block, fresh, weight = block[:, live], fresh[:, live], weight[:, live]
-            now, prior = h[live], last[live]
-            tape, states = [], []
+            m = len(live)
+            symbols = np.concatenate([last[live][None], block[:-1]])
+            symbols[fresh] = END
+            symbols = symbols.ravel()
+            x = self.p["x"].take(symbols, 1).reshape(3, steps, m, n)
+            before, new, states = (np.empty((steps, m, n), np.float32) for _ in range(3))
+            g, restarts = np.empty((steps, 3, m, n), np.float32), fresh.any(1).tolist()
+            now = h[live]
             for t in range(steps):
-                now = np.where(fresh[t][:, None], 0, now).astype(np.float32)
-                prior = np.where(fresh[t], END, prior).astype(np.int16)
-                before = now
-                now, z, r, new, gn = self.step(prior, now)
-                tape.append((prior, before, z, r, new, gn))
-                states.append(now)
-                prior = block[t]
-            h[live], last[live] = now, prior
-            _, dh, grads = self.outputs(np.concatenate(states), block.ravel().astype(np.int64), weight.ravel() / b)
-            dh = dh.reshape(steps, len(live), n)
+                before[t] = now
+                if restarts[t]:
+                    before[t, fresh[t]] = 0
+                now = states[t]
+                self.advance(x[:, t], before[t], g[t], new[t], now)
+            h[live], last[live] = now, block[-1]
+            _, dh, grads = self.outputs(states.reshape(-1, n), block.ravel().astype(np.int64), weight.ravel() / b)
+            dh = dh.reshape(steps, m, n)
             gradient = np.zeros(len(self.vector), np.float32)
             own = self.views(gradient, self.shapes)
             for name, value in grads.items():
                 own[name][:] = value
-            carried, inputs, dxs = np.zeros((len(live), n), np.float32), [], []
+            z, r = g[:, 0], g[:, 1]
+            to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), g[:, 2] * r * (1 - r)
+            back = np.ascontiguousarray(self.p["u"].transpose(0, 2, 1))
+            # What reaches the gates and the proposal's recurrent part, and the proposal itself.
+            d, dnew, carried = np.empty_like(g), np.empty_like(new), np.zeros((m, n), np.float32)
             for t in range(steps - 1, -1, -1):
-                symbols, before, z, r, new, gn = tape[t]
-                d = dh[t] + carried
-                dnew = d * (1 - z) * (1 - new * new)
-                dz = d * (before - new) * z * (1 - z)
-                dr = dnew * gn * r * (1 - r)
-                dg = np.concatenate([dz, dr, dnew * r], 1)
-                own["u"] += before.T @ dg
-                carried = (d * z + dg @ self.p["u"].T) * ~fresh[t][:, None]
-                inputs.append(symbols)
-                dxs.append(np.concatenate([dz, dr, dnew], 1))
-            symbols = np.concatenate(inputs)
+                carried += dh[t]
+                np.multiply(carried, to_new[t], out=dnew[t])
+                np.multiply(carried, to_z[t], out=d[t, 0])
+                np.multiply(dnew[t], to_r[t], out=d[t, 1])
+                np.multiply(dnew[t], r[t], out=d[t, 2])
+                carried *= z[t]
+                for part in d[t] @ back:
+                    carried += part
+                if restarts[t]:
+                    carried[fresh[t]] = 0
             order = np.argsort(symbols, kind="stable")
             rows, first = np.unique(symbols[order], return_index=True)
-            own["x"][rows] = np.add.reduceat(np.concatenate(dxs)[order], first, axis=0)
+            inputs = before.reshape(-1, n).T
+            for k, dx in enumerate((d[:, 0], d[:, 1], dnew)):
+                own["u"][k] = inputs @ d[:, k].reshape(-1, n)
+                own["x"][k, rows] = np.add.reduceat(dx.reshape(-1, n)[order], first, axis=0)
             np.clip(gradient, -5, 5, out=gradient)
             squares += gradient * gradient
             self.vector -= rule.rate * gradient / np.sqrt(squares)

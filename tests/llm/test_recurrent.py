@@ -22,7 +22,7 @@ def plain(gru, symbols):
     """Log probability of a sequence, one symbol at a time."""
     h, last, total, s = np.zeros((1, 5), np.float32), 1, 0.0, gru.rule.per_class
     for x in symbols:
-        h = gru.step(np.array([last]), h)[0]
+        h = gru.step(np.array([last]), h)
         c = np.exp(h @ gru.p["wc"] + gru.p["bc"])[0]
         w = np.exp(h @ gru.p["ww"][x // s] + gru.p["bw"][x // s])[0]
         total += math.log10(c[x // s] / c.sum()) + math.log10(w[x % s] / w.sum())
