@@ -99,6 +99,14 @@ def test_test_rows_were_not_trained_on(spark):
     assert parts[0] == parts[1] == parts[2] and 3000 < len(parts[0][0]) < 3400
 
 
+def test_no_task_gets_more_rows_than_its_share(points):
+    for per_part, parts in ((500, 4), (500_000, 2)):
+        settings = tr.TreeSettings(["x"], "y", max_depth=1, key=("id",), partitions=2, rows_per_partition=per_part)
+        _, train, _ = tr.fit(points.coalesce(1), settings)
+        assert train.rdd.getNumPartitions() == parts
+        assert max(train.rdd.glom().map(len).collect()) <= 2000 / parts
+
+
 def test_rows_without_a_key_are_training_rows(spark):
     df = spark.createDataFrame([(1,), (None,), (95,)], "k int")
     train, test = modulo_split(df, "k", 80)
