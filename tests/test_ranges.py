@@ -49,6 +49,21 @@ def test_no_step_above_its_share(spark):
     assert max(parts) <= 2.6 * 60_000 / 64 and sum(parts) == 60_000
 
 
+def test_steps_follow_from_rows_and_hold_few_points_and_bands(spark):
+    """Steps stay small however many rows there are, and bands where no points are go nowhere."""
+    points = spark.range(0, 40_000, 1, 4).select("id", F.when(F.col("id") % 4 == 0, 7.0).otherwise(F.sqrt("id")).alias("x"))
+    bands = spark.range(20_000).select(F.col("id").alias("b"), (F.col("id") / 50).alias("lo"), (F.col("id") / 50 + 0.01).alias("hi"))
+    ends = bands.select(F.explode(F.array("lo", "hi")).alias("x"))
+    grid = point_grid(points, "x", 8, ends=ends, per_step=100)
+    sizes = [r["count"] for r in stepped_points(points, "x", grid).groupBy("__step", "__part").count().collect()]
+    assert len(grid.cuts) > 600 and max(sizes) < 300 and sum(sizes) == 40_000 and grid.parts.count(0) > 200
+    pairs = range_join(points, bands, "x", "lo", "hi", grid=grid)
+    assert pairs.filter("x < lo or x > hi").count() == 0
+    expected = points.crossJoin(F.broadcast(bands.filter("lo <= 200"))).filter("x >= lo and x <= hi")
+    totals = [F.count("*"), F.sum("id"), F.sum("b")]
+    assert pairs.agg(*totals).first() == expected.agg(*totals).first()
+
+
 def test_clashing_names_are_refused(spark):
     df = spark.range(3).select(F.col("id").alias("x"))
     with pytest.raises(ValueError):
