@@ -42,30 +42,47 @@ def stored_keys(spark: SparkSession, path: str, key: str, schema: T.StructType)
     return spark.read.schema(own).parquet(path).filter(~F.col(_GONE)).select(*[F.col(quoted(f.name)) for f in fields])
 
 
-def write_rank_index(df: DataFrame, path: str, order: list[Column | str], rows_per_part: int = 1_000_000) -> None:
+def write_rank_index(df: DataFrame, path: str, order: list[Column | str], rows_per_part: int = 1_000_000,
+                     rows_per_file: int = 1_000_000) -> None:
     """Write the rows in parts of a total order, each row with its rank in its part, and the number of rows per part.
 
     The order may have ties, nulls and any types; ties are broken by a hash of the row, so that a value that many rows
-    share is spread over parts.  One count, one range exchange, no task with more than about a part.
+    share is spread over parts.  One count, one range exchange into files of about ``rows_per_file`` rows (or of a part, if
+    that is more), each of which holds its parts one after the other; no task has more than about a file.
     """
-    parts = max(1, math.ceil(df.count() / rows_per_part))
+    in_file = max(rows_per_part, rows_per_file)
+    files = max(1, math.ceil(df.count() / in_file))
+    most = 2 * math.ceil(in_file / rows_per_part)  # parts a file may have; the last of them takes what is over
     tie = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
-    sorted_ = df.withColumn("__tie", tie).repartitionByRange(parts, *order, "__tie").sortWithinPartitions(*order, "__tie")
+    sorted_ = df.withColumn("__tie", tie).repartitionByRange(files, *order, "__tie").sortWithinPartitions(*order, "__tie")
     numbered = sorted_.drop("__tie").withColumn("__id", F.monotonically_increasing_id())
-    placed = numbered.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__rank": F.col("__id").bitwiseAND(F.lit(_IN_PART))})
-    placed.drop("__id").write.partitionBy("__part").parquet(f"{path}/rows")
-    df.sparkSession.read.parquet(f"{path}/rows").groupBy("__part").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
+    file, at = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND(F.lit(_IN_PART))
+    part = F.least(F.floor(at / rows_per_part), F.lit(most - 1).cast("long"))
+    placed = numbered.withColumns({"__file": file, "__part": (file * most + part).cast("int"), "__rank": at - part * rows_per_part})
+    placed.drop("__id").write.partitionBy("__file").parquet(f"{path}/rows")
+    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("__file", "__part").agg(F.count(F.lit(1)).alias("n"))
+    counts.write.parquet(f"{path}/counts")
 
 
 def ranked_page(spark: SparkSession, path: str, number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 1) of the rows at ``path`` in their order; only the parts that hold it are read."""
-    counts = sorted(spark.read.parquet(f"{path}/counts").collect(), key=lambda r: r["__part"])
+    """Page ``number`` (from 1) of the rows at ``path`` in their order; only the files that hold it are read."""
+    counts = spark.read.parquet(f"{path}/counts")
     first = size * (number - 1)
-    spans = [(r["__part"], end - r["n"], end) for r, end in zip(counts, accumulate(r["n"] for r in counts))]
-    held = [(part, max(first - low, 0), min(first + size, end) - low) for part, low, end in spans
-            if low < first + size and first < end]
-    rows = spark.read.parquet(f"{path}/rows")
+
+    def held(rows: list, above: int = 0) -> list[tuple]:
+        """Each of the rows that the page reaches into, and the ranks at which its numbers begin and end."""
+        spans = [(r, above + end - r["n"], above + end) for r, end in zip(rows, accumulate(r["n"] for r in rows))]
+        return [(r, low, high) for r, low, high in spans if low < first + size and first < high]
+
+    files = held(sorted(counts.groupBy("__file").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["__file"]))
+    own = F.col("__file").isin([r["__file"] for r, _, _ in files])
+    # Only the first and the last part are cut, so what lies between needs no condition of its own.
+    parts = held(sorted(counts.filter(own).collect(), key=lambda r: r["__part"]), files[0][1] if files else 0)
     inside = F.lit(False)
-    for part, low, high in held:
-        inside = inside | ((F.col("__part") == part) & (F.col("__rank") >= low) & (F.col("__rank") < high))
-    return rows.filter(F.col("__part").isin([p for p, _, _ in held]) & inside).orderBy("__part", "__rank").drop("__part", "__rank")
+    if parts:
+        (begin, low, _), (last, top, _) = parts[0], parts[-1]
+        part, rank = F.col("__part"), F.col("__rank")
+        inside = (part.between(begin["__part"], last["__part"]) & ((part > begin["__part"]) | (rank >= first - low))
+                  & ((part < last["__part"]) | (rank < first + size - top)))
+    rows = spark.read.parquet(f"{path}/rows").filter(own & inside)
+    return rows.orderBy("__part", "__rank").drop("__file", "__part", "__rank")

@@ -82,3 +82,20 @@ def test_a_deep_page_reads_one_part(spark, tmp_path):
     schema = "id long, s string, __rank long, __part int"
     left = spark.read.schema(schema).parquet(path + "/rows").filter(F.col("__part").isin([int(h.split("=")[1]) for h in held]))
     assert left.count() == sum(counts[int(h.split("=")[1])] for h in held)
+
+
+def test_small_parts_share_files_and_pages_cross_them(spark, tmp_path):
+    path, rows = str(tmp_path / "i"), 5_000
+    df = spark.range(rows).select((F.col("id") * 7919 % rows).alias("k"), F.lit("x").alias("s"))
+    stored.write_rank_index(df.repartition(4), path, ["k"], 10, rows_per_file=1000)
+    assert len(list(Path(path, "rows").rglob("*.parquet"))) == 5
+    counts = [r.n for r in spark.read.parquet(path + "/counts").collect()]
+    assert 500 <= len(counts) <= 505 and max(counts) == 10
+    for number, size in ((1, 3), (4, 25), (2, 1700), (1, rows + 1), (3, rows)):
+        page = [r.k for r in stored.ranked_page(spark, path, number, size).collect()]
+        assert page == list(range(rows))[size * (number - 1):size * number]
+    again = str(tmp_path / "same")  # equal rows lie in one file, and its last part takes what is over
+    stored.write_rank_index(spark.range(300).select(F.lit(1).alias("k")).repartition(3), again, ["k"], 10, rows_per_file=20)
+    assert sum(stored.ranked_page(spark, again, i, 70).count() for i in range(1, 6)) == 300
+    read = spark.read.parquet(again + "/rows")
+    assert read.select("__part", "__rank").distinct().count() == 300
