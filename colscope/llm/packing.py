@@ -21,6 +21,9 @@ from .common import named, on_workers, slices, written
 
 END = "<|endoftext|>"
 _CACHE = 400_000
+_TOGETHER = 10_000
+# What byte-level vocabularies write for a space and a line feed.
+_BLANK_BYTES = ("\u0120", "\u010a")
 
 
 class Encoder:
@@ -37,6 +40,18 @@ class Encoder:
         self.known: dict[str, bytes | None] = {}
         self.mark = self.tokenizer.token_to_id(END)
         self.feed = len(self._whole("\n"))
+        self.starts = self._starts()
+
+    def _starts(self) -> np.ndarray | None:
+        """Which ids begin with a space or line feed, if the tokenizer works on bytes and leaves them as they are."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        starts[[i for token, i in vocabulary.items() if token[:1] in _BLANK_BYTES]] = True
+        return starts
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -48,16 +63,32 @@ class Encoder:
             core = p[1:] if p[:1] == "\n" else p
             if not core or core[0].isspace() or core[-1].isspace():
                 self.known[p] = None
-            elif END in p or self.mark is None:
+            elif END in p:
                 self.known[p] = self._whole(p if p[0] == "\n" else " " + p)
             else:
                 plain.append(p)
-        for i in range(0, len(plain), 2000):
-            some = plain[i:i + 2000]
-            joined = np.frombuffer(self._whole(END.join(p if p[0] == "\n" else " " + p for p in some)), "<u4")
-            cuts = [-1, *np.flatnonzero(joined == self.mark).tolist(), len(joined)]
-            raw = joined.tobytes()
-            self.known.update((p, raw[4 * a + 4:4 * b]) for p, a, b in zip(some, cuts, cuts[1:]))
+        for i in range(0, len(plain), _TOGETHER):
+            some = plain[i:i + _TOGETHER]
+            self.known.update(zip(some, self._apart([p if p[0] == "\n" else " " + p for p in some])))
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; every one begins with a space or line feed and has no other.
+
+        They are encoded as one text.  If as many ids begin with such a character as there are texts, each text begins
+        an id; otherwise marks are put between them.
+        """
+        if self.starts is not None:
+            raw = self._whole("".join(texts))
+            cuts = np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")])
+            if len(cuts) == len(texts):
+                bounds = [*(4 * cuts).tolist(), len(raw)]
+                return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        if self.mark is None:
+            return [self._whole(t) for t in texts]
+        raw = self._whole(END.join(texts))
+        joined = np.frombuffer(raw, "<u4")
+        cuts = [-1, *np.flatnonzero(joined == self.mark).tolist(), len(joined)]
+        return [raw[4 * a + 4:4 * b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null is the empty text."""

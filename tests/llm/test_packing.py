@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from colscope.llm.packing import best_fit, encoder, pack, sequences, token_pieces
+from colscope.llm.packing import END, Encoder, best_fit, encoder, pack, sequences, token_pieces
 from colscope.llm.queries import tokenizer_path
 
 
@@ -81,3 +81,21 @@ def test_nothing_to_pack(no_docs, path):
 def test_only_large_items_do_not_merge(spark):
     df = spark.createDataFrame([(i, 1500) for i in range(500)], "k long, length long")
     assert pack(df, per_group=20).select("sequence_id").distinct().count() == 500
+
+
+def test_new_words_are_encoded_side_by_side_without_marks(path):
+    words = ["one", "two,", "\nthree", "a\tb", "d'un", "\n\u00e9t\u00e9$$$", "42", "\u0120", "\u4f60\u597d", "x\u200b", "don't"]
+    text = "one two, d'un \u00e9t\u00e9$$$\nthree a\tb 42 \u0120 \u4f60\u597d x\u200b don't\n\u00e9t\u00e9$$$"
+    alone = Encoder(path)
+    own = [alone._whole(w if w[0] == "\n" else " " + w) for w in words]
+    own_encoder, seen = Encoder(path), []
+    plain = own_encoder._whole
+    own_encoder._whole = lambda t: seen.append(t) or plain(t)
+    own_encoder._learn(words)
+    assert [own_encoder.known[w] for w in words] == own
+    assert len(seen) == 1 and END not in seen[0]
+    assert Encoder(path).encode([text]) == [alone._whole(text)]
+    marked = Encoder(path)
+    marked.starts = None  # as for a tokenizer that does not work on bytes
+    marked._learn(words)
+    assert [marked.known[w] for w in words] == own
