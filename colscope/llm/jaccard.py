@@ -258,12 +258,16 @@ def _member_links(differences: DataFrame, rule: Jaccard) -> DataFrame:
     sizes = members.select("hub", "c", "n", "d")
     for c in "uv":
         pairs = pairs.join(sizes.toDF("hub", c, f"n{c}", f"d{c}"), ["hub", c])
-    # Sizes and distances from the hub tell most pairs apart before their n-grams are fetched.
+    # Sizes and distances from the hub tell most pairs apart before n-grams are fetched, and only for members of the others.
     total = F.col("nu") + F.col("nv")
     least = F.greatest(F.abs(F.col("nu") - F.col("nv")), F.abs(F.col("du") - F.col("dv")))
-    pairs = pairs.filter(_linked((total - least) / 2, total, rule))
+    pairs = written(pairs.filter(_linked((total - least) / 2, total, rule)), "member-pairs")
+    wanted = pairs.select("hub", F.col("u").alias("c")).unionAll(pairs.select("hub", F.col("v").alias("c"))).distinct()
+    wanted = written(wanted, "members-of-pairs")
+    few = wanted.count() <= MAX_BROADCAST_ROWS
+    fetched = members.select("hub", "c", "other").join(F.broadcast(wanted) if few else wanted, ["hub", "c"], "left_semi")
     for c, x in (("u", "x"), ("v", "y")):
-        pairs = pairs.join(members.select("hub", F.col("c").alias(c), F.col("other").alias(x)), ["hub", c])
+        pairs = pairs.join(fetched.select("hub", F.col("c").alias(c), F.col("other").alias(x)), ["hub", c])
     apart = F.col("du") + F.col("dv") - 2 * F.size(F.array_intersect("x", "y"))
     return pairs.filter(_linked((total - apart) / 2, total, rule)).select("u", "v").distinct()
 

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from colscope.llm import jaccard
+from colscope.llm import common, jaccard
 from colscope.llm.jaccard import Jaccard, components, drop_near_duplicates, fragment_marks, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +137,29 @@ def test_components_of_paths_stars_and_rings(spark):
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {(r.node, r.root) for r in found} == {(n, 0) for n in range(51)} | {(100 + i, 100) for i in range(30)} | {
         (200 + i, 200) for i in range(9)}
+
+
+def test_differences_are_fetched_for_members_of_pairs_only(spark, monkeypatch):
+    rows = [(0, 100, c, 100, 30, list(range(start, start + 30)), False) for c, start in ((1, 0), (2, 0), (3, 100), (4, 200))]
+    differences = spark.createDataFrame(rows, "hub long, hub_n long, c long, n long, d long, other array<long>, linked boolean")
+    tables, plain = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    links = jaccard._member_links(differences, jaccard.Jaccard(words=5, num=80, den=100))
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+    assert sorted(map(tuple, tables["members-of-pairs"].collect())) == [(0, 1), (0, 2)]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("\n").split("\n") if "shuffle_" in f}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), shuffled()
+    table = common.written(spark.range(1000).groupBy((F.col("id") % 100).alias("g")).count(), "counts")
+    for _ in range(50):  # files go a little after the write
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert table.count() == 100 and spark.conf.get(key) == setting
