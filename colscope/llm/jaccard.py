@@ -9,17 +9,19 @@ The order of n-grams is that of their 64-bit fingerprints, and cutting it into r
    it can without losing one of them: passages that many sets share crowd few files, and these are the ones left.
 2. *Counting.* The overlap of a pair is counted fragment by fragment and summed per pair; what differs is kept.
 3. *Pairs of members.* Two members x and y of a hub differ in the symmetric difference of their differences X and Y
-   from it.  If both are linked to the hub they need no link of their own.  If y is not, a link to x needs more than
-   about half of X to be in Y, so one of the rarest elements of X (a prefix) must be in Y, and such pairs are checked.
+   from it.  Members that links with hubs connect need no link of their own.  Of two others at most one is linked to
+   the hub, and a link needs about half of X and Y to be shared: the first shared element in the order of rarity has so
+   many elements behind it in both.  Pairs with such an element are checked, once however many hubs they share.
 
 So no link between different texts that could change a component is lost.  Files make no pairs of their members; step 3
-makes those that share a prefix n-gram and that sizes do not tell apart, which for two large groups of near copies that
-are similar to each other, but not linked, are all pairs between them.
+makes those that share an element with enough behind it.  Two large groups of near copies that are apart from each other
+by little more than the rule allows, in the same places, still make all pairs between them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from .common import LOWER, annotate, emptied, named, on_workers, slices, written
 
 FRAGMENTS = 8
 _CLASSES = 8  # a mark's low bits tell its class of sizes among the few neighbouring ones that a set is filed in
+_PASSES = 4
 MAX_BROADCAST_ROWS = 1_000_000
 _KNOWN_WORDS = 300_000
 # Odd multipliers and the finaliser of splitmix64.
@@ -51,6 +54,10 @@ class Jaccard:
         """Largest symmetric difference of linked sets whose sizes sum to ``total``."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    def most_apart(self, total: Column) -> Column:
+        """``most_different`` of a column, not yet rounded down."""
+        return total * (self.den - self.num) / (self.den + self.num)
+
     def classes(self, n: int) -> list[tuple[int, int]]:
         """(class of sizes, its largest size) for all classes in which a set of ``n`` has linked ones."""
         out, low, k = [], 1, 0
@@ -169,16 +176,31 @@ def described(docs: DataFrame, rule: Jaccard, id: str, text: str, marks: bool) -
     return on_workers(own).mapInArrow(run, T.StructType(fields))
 
 
-def _files(classes: DataFrame) -> DataFrame:
-    """(mark, c, size) of all files with two classes or more, without the most crowded ones that classes may leave."""
-    filed = classes.select(F.explode("marks").alias("mark"), "c")
-    size = F.count(F.lit(1)).over(Window.partitionBy("mark"))
-    filed = filed.withColumn("size", size).filter(F.col("size") > 1)
+def _files(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(mark, c, size) of all files with two classes or more, without the most crowded ones that classes may leave.
+
+    Classes leave marks in one order, so the last in it that two of them share is kept by both even if each leaves twice
+    the number that it may leave in any order: all but one of those they share.  Most marks are those of one class, so
+    they are dealt out in ``_PASSES`` parts, of which one at a time is shuffled.
+    """
+    own = classes.select("c").hint("merge")
+    parts = []
+    for i in range(_PASSES):
+        some = F.filter("marks", lambda mark: F.pmod(F.shiftright(mark, _CLASSES.bit_length() - 1), F.lit(_PASSES)) == i)
+        part = sets.select(F.col("r").alias("c"), some.alias("marks")).join(own, "c", "left_semi")
+        part = part.select(F.explode("marks").alias("mark"), "c")
+        part = part.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("mark"))).filter(F.col("size") > 1)
+        parts.append(written(part, "filed"))
+    filed = reduce(DataFrame.unionAll, parts)
+    spare = sets.select(F.col("r").alias("c"), "spare").join(own, "c", "left_semi")
     kind = F.pmod("mark", F.lit(_CLASSES)).cast("int")
     crowded = Window.partitionBy("c", "kind").orderBy(F.desc("size"), "mark")
     ranked = filed.withColumn("kind", kind).withColumn("rank", F.row_number().over(crowded))
-    kept = ranked.join(classes.select("c", "spare"), "c").filter(F.col("rank") > F.col("spare")[F.col("kind")])
-    return kept.select("mark", "c", "size")
+    kept = ranked.join(spare, "c").filter(F.col("rank") > 2 * F.col("spare")[F.col("kind")])
+    kept = written(kept.select("mark", "c", "size"), "files")
+    for part in parts:
+        emptied(part)
+    return kept
 
 
 def _hub_pairs(files: DataFrame) -> DataFrame:
@@ -231,37 +253,40 @@ def _linked(overlap: Column, total: Column, rule: Jaccard) -> Column:
 
 
 def _member_links(differences: DataFrame, rule: Jaccard) -> DataFrame:
-    """(u, v) links between members of one hub of which at least one has no link to the hub.
+    """(u, v) links between members of one hub that links with hubs do not connect.
 
-    ``differences`` has hub, hub_n, c, n, d (size of the difference), other (its n-grams) and linked.
+    ``differences`` has hub, hub_n, c, n, d (size of the difference), other (its n-grams) and linked.  Of two members in
+    different components at most one is linked to their hub.
     """
-    open_hubs = differences.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("all"))
-    open_hubs = written(open_hubs.filter(~F.col("all") & (F.col("members") > 1)).select("hub"), "open-hubs")
+    roots = components(differences.filter("linked"), "hub", "c")
+    known = differences.select("hub", "hub_n", "c", "n", "d", "linked").join(roots.toDF("c", "root"), "c", "left")
+    known = written(known.withColumn("root", F.coalesce("root", "c")), "members")
+    apart = F.min("root") != F.max("root")
+    open_hubs = written(known.groupBy("hub").agg(apart.alias("apart")).filter("apart").select("hub"), "open-hubs")
     few = open_hubs.count() <= MAX_BROADCAST_ROWS
     members = differences.join(F.broadcast(open_hubs) if few else open_hubs, "hub", "left_semi")
-    slack = F.ceil(F.greatest(F.col("n") - F.col("hub_n"), F.lit(0)) * (rule.den - rule.num) / (rule.den + rule.num))
-    needed = F.ceil((F.col("d") + 1 - slack) / 2)
-    # Of the n-grams in order of their members, the first ``prefix``; those of one member come first and meet nobody.
-    prefix = (F.col("d") - needed + 1).alias("prefix")
     each = members.select("hub", "c", F.explode("other").alias("g"))
-    counts = each.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1)
-    # Few n-grams are shared, so what is known of members joins them here, where ranks need them side by side anyway.
-    known = members.select("hub", "c", "linked", prefix, F.col("d").alias("size"))
-    shared = each.join(counts, ["hub", "g"]).join(known, ["hub", "c"])
+    seen = each.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("hub", "g"))).filter(F.col("seen") > 1)
+    # N-grams in order of their members; those of one member come first and meet nobody.
     own = Window.partitionBy("hub", "c")
-    rank = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("seen", "g"))
-    shared = shared.withColumn("first", rank <= F.col("prefix"))
-    first = shared.filter("first").select("hub", "g", F.col("c").alias("u"))
-    lone = shared.filter(~F.col("linked")).select("hub", "g", F.col("c").alias("v"))
-    pairs = first.join(lone, ["hub", "g"]).filter(F.col("u") != F.col("v"))
-    pairs = pairs.select("hub", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sizes = members.select("hub", "c", "n", "d")
-    for c in "uv":
-        pairs = pairs.join(sizes.toDF("hub", c, f"n{c}", f"d{c}"), ["hub", c])
-    # Sizes and distances from the hub tell most pairs apart before n-grams are fetched, and only for members of the others.
+    ranked = seen.join(known, ["hub", "c"]).withColumn("own", F.count(F.lit(1)).over(own))
+    ranked = ranked.withColumn("rank", F.col("d") - F.col("own") + F.row_number().over(own.orderBy("seen", "g")))
+    # Linked sets share at least (d + their d - most) / 2 n-grams of their differences, and d - their d is most at most.
+    last = F.floor(rule.most_apart(F.col("n") + F.floor(F.col("n") * rule.den / rule.num))) + 1
+    slack = F.ceil(rule.most_apart(F.greatest(F.col("n") - F.col("hub_n"), F.lit(0))))
+    prefix = F.col("d") - F.ceil((F.col("d") + 1 - slack) / 2) + 1  # of a set that only ones without a link to the hub need
+    near = ranked.filter(F.col("rank") <= F.when(F.col("linked"), F.least(prefix, last)).otherwise(last))
+    near = written(near.select("hub", "g", "c", "n", "d", "rank", "root"), "shared")
+    u, v = (near.toDF("hub", "g", *[c + x for c in ("", "n", "d", "rank", "root")]) for x in "uv")
     total = F.col("nu") + F.col("nv")
-    least = F.greatest(F.abs(F.col("nu") - F.col("nv")), F.abs(F.col("du") - F.col("dv")))
-    pairs = written(pairs.filter(_linked((total - least) / 2, total, rule)), "member-pairs")
+    most = F.floor(rule.most_apart(total))
+    needed = (F.col("du") + F.col("dv") - most) / 2
+    # The first n-gram that two members share has all others behind it, so both have as many as needed from there on.
+    enough = (F.col("du") - F.col("ranku") + 1 >= needed) & (F.col("dv") - F.col("rankv") + 1 >= needed)
+    met = (F.col("u") < F.col("v")) & (F.col("rootu") != F.col("rootv")) & (F.abs(F.col("nu") - F.col("nv")) <= most) & enough
+    pairs = u.alias("l").join(v.alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.g") == F.col("r.g")) & met)
+    found = F.min(F.struct(F.col("l.hub").alias("hub"), "nu", "nv", "du", "dv")).alias("found")
+    pairs = written(pairs.groupBy("u", "v").agg(found).select("u", "v", "found.*"), "member-pairs")
     wanted = pairs.select("hub", F.col("u").alias("c")).unionAll(pairs.select("hub", F.col("v").alias("c"))).distinct()
     wanted = written(wanted, "members-of-pairs")
     few = wanted.count() <= MAX_BROADCAST_ROWS
@@ -312,8 +337,7 @@ def similar_sets(docs: DataFrame, rule: Jaccard | None = None, id: str = "doc_id
     key = F.struct(F.col("id").isNull().alias("missing"), "id", "r")
     classes = numbered.filter("n > 0").groupBy("a", "b", "n").agg(F.min(key).alias("top"))
     classes = written(classes.select(F.col("top.r").alias("c"), "top.id", "n", "a", "b"), "classes")
-    filed = numbered.select(F.col("r").alias("c"), "marks", "spare").join(classes.select("c").hint("merge"), "c", "left_semi")
-    files = written(_files(filed), "files")
+    files = _files(numbered, classes)
     emptied(numbered)  # marks are most of what is held, and no longer needed
     pairs = written(_hub_pairs(files), "pairs")
     wanted = classes.join(pairs.select("c").unionAll(pairs.select("hub")).distinct(), "c", "left_semi")

@@ -149,6 +149,53 @@ def test_differences_are_fetched_for_members_of_pairs_only(spark, monkeypatch):
     assert sorted(map(tuple, tables["members-of-pairs"].collect())) == [(0, 1), (0, 2)]
 
 
+def test_members_far_from_a_large_hub_make_no_pairs(spark, monkeypatch):
+    # Each lacks the same 60 n-grams of the hub and has 30 of its own: their differences agree in more than half.
+    hub = 1000
+    rows = [(hub, 116, c, 86, 90, [*range(60), *range(100 * c, 100 * c + 30)], False) for c in range(1, 41)]
+    differences = spark.createDataFrame(rows, "hub long, hub_n long, c long, n long, d long, other array<long>, linked boolean")
+    tables, plain = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    assert jaccard._member_links(differences, Jaccard(5, 80, 100)).count() == 0
+    assert tables["member-pairs"].count() == 0
+
+
+def test_members_that_links_with_hubs_connect_make_no_pairs(spark, monkeypatch):
+    docs, words = [], [f"w{i}" for i in range(200)]
+    for i in range(60):
+        own = list(words)
+        for at in range(i % 10, 200, 50 - i // 2):
+            own[at] = f"e{at}"
+        docs.append((i, " ".join(own)))
+    tables, plain = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.__setitem__(name, plain(df, name)) or tables[name])
+    rule = Jaccard(5, 80, 100)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, rule).collect())) == brute(docs, rule)
+    roots = {}
+    for hub, c, root in tables["members"].select("hub", "c", "root").collect():
+        roots[c] = root
+    pairs = tables["member-pairs"].collect()
+    assert len({(r.u, r.v) for r in pairs}) == len(pairs)
+    assert all(roots[r.u] != roots[r.v] for r in pairs)
+
+
+def test_crowded_passages_lose_no_link(spark):
+    pick = random.Random(0)
+    passage = [f"p{i}" for i in range(70)]
+    docs = []
+    for g in range(25):
+        words = [f"g{g}w{i}" for i in range(pick.randint(5, 60))] + passage[:pick.randint(20, 70)]
+        for _ in range(6):
+            own = list(words)
+            for _ in range(pick.randint(0, 6)):
+                own[pick.randrange(len(own))] = f"e{pick.randint(0, 20)}"
+            docs.append((len(docs), " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rule = Jaccard(5, 80, 100)
+    assert sorted(map(tuple, near_duplicates(df, rule).collect())) == brute(docs, rule)
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     def shuffled():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
