@@ -107,6 +107,15 @@ def test_no_task_gets_more_rows_than_its_share(points):
         assert max(train.rdd.glom().map(len).collect()) <= 2000 / parts
 
 
+def test_large_pieces_are_dealt_out_without_being_asked(points):
+    for per_part, pieces, parts in ((500, 1, 4), (1900, 1, 2), (500, 3, 4), (500, 8, 8), (500_000, 1, 1)):
+        settings = tr.TreeSettings(["x"], "y", max_depth=1, key=("id",), rows_per_partition=per_part)
+        _, train, test = tr.fit(points.repartition(pieces), settings)
+        assert train.rdd.getNumPartitions() == parts
+        assert max(train.rdd.glom().map(len).collect()) <= per_part
+        assert sorted(r.id for d in (train, test) for r in d.select("id").collect()) == list(range(2000))
+
+
 def test_rows_without_a_key_are_training_rows(spark):
     df = spark.createDataFrame([(1,), (None,), (95,)], "k int")
     train, test = modulo_split(df, "k", 80)
