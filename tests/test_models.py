@@ -10,6 +10,7 @@ from colscope.operators import trees as tr
 from colscope.operators.score import score
 from colscope.operators.split import bernoulli_sample, hash_split, modulo_split, random_split, unit
 from colscope.plans import model_report
+from colscope.suite import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +117,24 @@ def test_large_pieces_are_dealt_out_without_being_asked(points):
         assert sorted(r.id for d in (train, test) for r in d.select("id").collect()) == list(range(2000))
 
 
+def test_boosted_regressor_runs_all_rounds_at_full_depth(spark, tmp_path, monkeypatch):
+    """Too few rounds, or too shallow trees, stay far from prices that go up and down with the quantity."""
+    n = F.col("id")
+    quantity, discount, status = (n % 50 + 1).cast("double"), n % 11 / 100, F.when(n % 3 == 0, "F").otherwise("O")
+    price = 1000 * F.sin(quantity) + 20000 * discount + F.when(status == "F", 500).otherwise(0)
+    spark.range(3300).select(quantity.alias("l_quantity"), discount.alias("l_discount"), status.alias("l_linestatus"),
+                             price.alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    models, fit = [], tr.fit
+    monkeypatch.setattr(tr, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    rows = QUERIES["boosted_trees_regressor"](spark, str(tmp_path))
+    trees = models[0][0].estimator.trees
+    assert len(trees) == 20 and {t.depth for t in trees} == {5}
+    error = F.sqrt(F.avg((F.col("predicted") - F.col("l_extendedprice")) ** 2)) / F.stddev("l_extendedprice")
+    count, share = rows.agg(F.count(F.lit(1)), error).first()
+    # 0.70 after 3 rounds of depth 3, 0.43 after 20 of them, 0.63 after 3 rounds of depth 5.
+    assert count == 3300 and share < 0.3
+
+
 def test_rows_without_a_key_are_training_rows(spark):
     df = spark.createDataFrame([(1,), (None,), (95,)], "k int")
     train, test = modulo_split(df, "k", 80)
